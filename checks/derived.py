@@ -90,7 +90,11 @@ def contests(spark, sf_dir):
 
 
 def deliveries(spark, sf_dir):
-    balls = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mid"), "l_linenumber")
+    # by match from the start: the join with the contests and the aggregations per
+    # match all keep this partitioning, whether or not the contests are broadcast
+    balls = (
+        table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mid"), "l_linenumber").repartition("mid")
+    )
     return balls.join(contests(spark, sf_dir), "mid").selectExpr(*[f"{e} as {c}" for c, e in DELIVERY_COLS])
 
 

@@ -31,16 +31,26 @@ def preview(matches: DataFrame, n=3) -> DataFrame:
 
 def champions_last_match(matches: DataFrame, keys=(), order_col="match_id") -> DataFrame:
     """Winner of the last match of each season."""
-    return matches.groupBy(*keys, "season").agg(F.max_by("winner", order_col).alias("champion"))
+    return _winner_of_last(matches, F.lit(False), keys, order_col)
 
 
 def champions(matches: DataFrame, keys=(), order_col="match_id") -> DataFrame:
     """Winner of each season's last match of a final stage, else of its last match."""
     if "stage" not in matches.columns:
         return champions_last_match(matches, keys, order_col)
-    is_final = is_true(F.lower("stage").contains("final"))
-    return matches.groupBy(*keys, "season").agg(
-        F.max_by("winner", F.struct(is_final, F.col(order_col))).alias("champion"))
+    return _winner_of_last(matches, is_true(F.lower("stage").contains("final")), keys, order_col)
+
+
+def _winner_of_last(matches, is_final, keys, order_col):
+    """Matches are first reduced to (season, winner) with plain maxima, which Spark
+    hash-aggregates; only that small frame goes through ``max_by``, whose text
+    buffer needs a sort."""
+    by_winner = matches.groupBy(*keys, "season", "winner").agg(
+        F.max(F.when(is_final, F.col(order_col))).alias("_last_final"),
+        F.max(order_col).alias("_last"),
+    )
+    position = F.struct(F.col("_last_final").isNotNull(), F.coalesce("_last_final", "_last"))
+    return by_winner.groupBy(*keys, "season").agg(F.max_by("winner", position).alias("champion"))
 
 
 def champions_newest_first(champs: DataFrame) -> DataFrame:

@@ -27,12 +27,28 @@ def first_row_per_match(deliveries: DataFrame, order_by, keys=()) -> DataFrame:
     )
 
 
+def _reduced(deliveries, order_by, attributes):
+    """One row per distinct set of attributes, at its first position.
+
+    Attributes of a match or an innings repeat on each of its rows. Grouping by
+    them leaves a plain ``min`` of the last order column, which Spark
+    hash-aggregates on the map side; ``min_by`` over texts, which needs a sort,
+    then sees a few rows per match. Exact for any input, also where attributes
+    differ from row to row. Order columns must not be NULL.
+    """
+    *prefix, last = order_by
+    columns = list(dict.fromkeys([*attributes, *prefix]))
+    if last in columns:
+        return deliveries.select(*columns).distinct()
+    return deliveries.groupBy(*columns).agg(F.min(last).alias(last))
+
+
 def innings_sides(deliveries: DataFrame, order_by, keys=()) -> DataFrame:
     """(match_id, team1, team2) from the first row of innings 1."""
     group = [*keys, "match_id"]
+    rows = _reduced(deliveries.where(F.col("innings") == 1), order_by, [*group, *SIDES])
     return (
-        deliveries.where(F.col("innings") == 1)
-        .groupBy(*group)
+        rows.groupBy(*group)
         .agg(F.min_by(F.struct(*SIDES), F.struct(*order_by)).alias("_sides"))
         .select(*group, F.col("_sides.batting_team").alias("team1"),
                 F.col("_sides.bowling_team").alias("team2"))
@@ -45,9 +61,15 @@ def match_sides(info: DataFrame, sides: DataFrame, keys=()) -> DataFrame:
 
 
 def match_grain(deliveries: DataFrame, order_by, columns=None, keys=()) -> DataFrame:
-    """First row and innings-1 sides of each match from a single aggregation."""
+    """First row and innings-1 sides of each match in one pass.
+
+    ``columns`` names the match attributes to keep; all columns without it.
+    """
     group = [*keys, "match_id"]
-    columns = columns or [c for c in deliveries.columns if c not in (*group, *SIDES, "innings")]
+    if columns is None:
+        columns = [c for c in deliveries.columns if c not in (*group, *SIDES, "innings")]
+    else:
+        deliveries = _reduced(deliveries, order_by, [*group, "innings", *SIDES, *columns])
     position = F.struct(*order_by)
     return (
         deliveries.groupBy(*group)
