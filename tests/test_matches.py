@@ -1,0 +1,115 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tiebreak.operators import matches as mt
+from tiebreak.operators.names import rename_teams
+
+BALL = """match_id bigint, season string, innings int, ball int, batting_team string, bowling_team string,
+    match_won_by string, toss_winner string, toss_decision string, venue string, city string, stage string"""
+ORDER = ["innings", "ball"]
+
+
+def game(mid, season="2007", t1="A", t2="B", won="A", toss="A", stage="League", innings=(1, 2)):
+    rows = []
+    for inn in innings:
+        bat, bowl = (t1, t2) if inn == 1 else (t2, t1)
+        for ball in (1, 2, 3):
+            rows.append((mid, season, inn, ball, bat, bowl, won, toss, "bat", " V ", "C", stage))
+    return rows
+
+
+@pytest.fixture
+def balls(spark):
+    data = (
+        game(1) + game(2, "2007/08", "B", "C", "C ", stage="FINAL") + game(3, "n/a") + game(4, won="No Result")
+        + game(5, won=" Tie ") + game(6, won=None) + game(7, innings=(2,)) + game(8, won="draw") + game(9, won="")
+        + game(10, "2008", " C ", "A", " C", toss=None) + game(11, t2=None) + game(12, won="nan")
+    )
+    return spark.createDataFrame(data[::-1], BALL)
+
+
+def test_converter_keeps_decided_matches_with_both_sides(balls, rows):
+    got = mt.deliveries_to_matches(balls, ORDER, winner_col="match_won_by")
+    assert rows(got) == [
+        (1, 2007, "A", "B", "A", "A", "bat", " V ", "C", "league"),
+        (10, 2008, "C", "A", "C", None, "bat", " V ", "C", "league"),
+        (2, 2007, "B", "C", "C", "A", "bat", " V ", "C", "final"),
+    ]
+
+
+def test_converter_finds_the_winner_column(balls, rows):
+    known = rows(mt.deliveries_to_matches(balls, ORDER, winner_col="match_won_by"))
+    assert rows(mt.deliveries_to_matches(balls, ORDER)) == known
+    # an earlier candidate that names no team is passed over
+    decoy = balls.withColumnRenamed("match_won_by", "winner").withColumn("win_outcome", F.lit("3 wickets"))
+    assert rows(mt.deliveries_to_matches(decoy, ORDER)) == known
+    odd = balls.withColumnRenamed("match_won_by", "result_text")
+    with pytest.raises(ValueError):
+        mt.deliveries_to_matches(odd, ORDER)
+    assert rows(mt.deliveries_to_matches(odd, ORDER, fallback=True)) == known
+
+
+def test_overlap_counts_distinct_raw_values(balls, rows):
+    grain = mt.match_grain(balls, ORDER, ["match_won_by"])
+    overlap = mt.winner_column_overlap(grain, mt.team_universe(balls, mt.SIDES))
+    # A, "C " and " C" are three values; two would not be enough
+    assert rows(overlap, "candidate", "overlap") == [("match_won_by", 3)]
+    two = spark_frame(balls, [("A",), ("A",), ("C ",)], "winner string")
+    with pytest.raises(ValueError):
+        mt.resolve_winner_column(two, mt.team_universe(balls, mt.SIDES))
+
+
+def spark_frame(df, data, schema):
+    return df.sparkSession.createDataFrame(data, schema)
+
+
+def test_first_row_follows_the_order_key_not_the_input_order(spark, rows):
+    data = [(1, 2, 1, "x"), (1, 1, 2, "y"), (1, 1, 1, "z"), (2, 2, 9, "q")]
+    df = spark.createDataFrame(data, "match_id bigint, innings int, ball int, note string")
+    for shuffled in (df, df.orderBy(F.desc("note")), df.repartition(3)):
+        assert rows(mt.first_row_per_match(shuffled, ORDER), "match_id", "note") == [(1, "z"), (2, "q")]
+
+
+def test_one_pass_grain_equals_first_rows_joined_with_sides(balls, rows):
+    """Also where attributes change from row to row."""
+    messy = balls.withColumn("venue", F.concat("venue", F.col("ball").cast("string")))
+    info = mt.first_row_per_match(messy, ORDER)
+    joined = mt.match_sides(info, mt.innings_sides(messy, ORDER))
+    columns = ["match_id", "season", "venue", "stage", "team1", "team2"]
+    for given in (["season", "venue", "stage"], None):
+        assert rows(mt.match_grain(messy, ORDER, given), *columns) == rows(joined, *columns)
+
+
+def test_absent_attributes_become_empty_and_null_season_falls_back_to_year(balls, rows):
+    lean = balls.drop("stage", "toss_winner").withColumn("year", F.lit(1999)).withColumn(
+        "season", F.when(F.col("match_id") == 1, F.lit(None)).otherwise(F.col("season")))
+    got = mt.deliveries_to_matches(lean, ORDER, winner_col="match_won_by").where("match_id = 1")
+    assert rows(got, "season", "stage", "toss_winner") == [(1999, "", "")]
+
+
+def test_match_level_input(spark, rows):
+    df = spark.createDataFrame([(1, "2007/08", "A", "A", "Final"), (2, "2008", "B", None, "x")],
+                               "id bigint, season string, team1 string, winner string, stage string")
+    got = mt.matches_from_table(df, order_col="id")
+    assert rows(got, "match_id", "season", "winner", "stage") == [(1, 2007, "A", "final")]
+
+
+def test_conversion_summary(balls):
+    summary = mt.conversion_summary(mt.deliveries_to_matches(balls, ORDER, winner_col="match_won_by")).first()
+    assert (summary.matches, summary.seasons) == (3, [2007, 2008])
+
+
+def test_rename_teams(balls, rows):
+    m = mt.deliveries_to_matches(balls, ORDER, winner_col="match_won_by")
+    renames = spark_frame(balls, [("c", "Sea")], "alias string, canonical string")
+    assert rows(rename_teams(m, renames), "match_id", "team1", "team2", "winner") == [
+        (1, "A", "B", "A"), (10, "Sea", "A", "Sea"), (2, "B", "Sea", "Sea")]
+    assert rename_teams(m, renames).columns == m.columns
+
+
+def test_leagues_with_equal_match_ids_stay_apart(balls, rows):
+    two = balls.withColumn("league", F.lit("x")).unionByName(
+        balls.withColumn("league", F.lit("y")).withColumn("stage", F.lit("z")))
+    got = mt.deliveries_to_matches(two, ORDER, winner_col="match_won_by", keys=("league",))
+    assert rows(got, "league", "match_id", "stage") == [
+        ("x", 1, "league"), ("x", 10, "league"), ("x", 2, "final"), ("y", 1, "z"), ("y", 10, "z"), ("y", 2, "z")]

@@ -23,9 +23,11 @@ def exact_round(col: Column, digits: int) -> Column:
     product = kept * F.lit(power).cast("bigint")
     quotient = F.shiftright(product, bits)
     rest = product.bitwiseAND(F.lit(2 ** bits - 1).cast("bigint"))
-    half = F.lit(2 ** (bits - 1)).cast("bigint")
     below = whole * F.lit(power).cast("bigint") + quotient
-    # bits of the fraction beyond the scale only matter on an apparent tie
-    up = (rest > half) | ((rest == half) & ((scaled > kept) | (below % 2 == 1)))
+    # what the scaling cut off still counts; it is exact unless the fraction is far
+    # too small to matter
+    cut_off = (scaled - kept) * float(power)
+    to_half = (F.lit(2 ** (bits - 1)).cast("bigint") - rest).cast("double")
+    up = (cut_off > to_half) | ((cut_off == to_half) & (below % 2 == 1))
     rounded = (below + up.cast("bigint")) / float(power)
     return F.when(col < 0, -rounded).otherwise(rounded)
