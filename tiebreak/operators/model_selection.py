@@ -161,4 +161,4 @@ def cross_val_accuracy(rows: DataFrame, params=None, folds=5, seed=SEED, paralle
                             evaluator=accuracy_evaluator(label), numFolds=folds, foldCol="fold",
                             parallelism=parallelism)
     fitted = search.fit(rows)
-    return fitted.avgMetrics[0], fitted.stdMetrics[0]
+    return float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])
