@@ -2,7 +2,7 @@ import pytest
 
 from tests import league as lg
 from tiebreak.sources import tables
-from tiebreak.session import checkpoint_root, materialize, scratch_path
+from tiebreak.session import checkpoint_root, drop_stored, materialize, scratch_path
 
 
 def test_header_normalisation(spark):
@@ -51,3 +51,11 @@ def test_materialize_uses_the_named_folder_and_stays_prunable(spark):
     assert stored.count() == 10
     plan = stored.where("id > 3").select("id")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:bigint>" in plan and "PushedFilters: [IsNotNull(id)" in plan
+
+
+def test_stored_tables_can_be_dropped(spark):
+    stored = materialize(spark.range(3).toDF("id"))
+    folder = stored.inputFiles()[0].rsplit("/", 1)[0]
+    assert tables.path_exists(spark, folder)
+    drop_stored(spark)
+    assert not tables.path_exists(spark, folder)

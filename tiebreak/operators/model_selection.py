@@ -81,8 +81,9 @@ def assembler(out="features"):
 
 
 def random_forest(trees=200, depth=6, min_leaf=5, seed=SEED, label=LABEL_COL):
+    # the memory for node statistics decides how many trees one pass over the data serves
     return RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
-                                  seed=seed)
+                                  seed=seed, maxMemoryInMB=1024)
 
 
 # search parameter -> MLlib parameter. Column sampling is per node there, the child
@@ -126,6 +127,13 @@ def sample_params(space, n, seed=SEED):
     return combos
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Training rows over all cores: tree fitting makes many passes, and a small
+    table is stored in few files. Larger tables are left as they are."""
+    width = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= width else rows.repartition(width)
+
+
 def accuracy_evaluator(label=LABEL_COL):
     return MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy")
 
@@ -145,7 +153,7 @@ def random_search(train: DataFrame, space, n_iter=30, folds=5, seed=SEED, parall
     maps = [{getattr(gbt, GBT_PARAMS[k]): _gbt_value(k, v) for k, v in combo.items()} for combo in combos]
     search = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=accuracy_evaluator(label),
                             numFolds=folds, foldCol="fold", parallelism=parallelism)
-    fitted = search.fit(train)
+    fitted = search.fit(spread(train))
     scores = list(zip(combos, fitted.avgMetrics, fitted.stdMetrics))
     best = max(range(len(scores)), key=lambda i: scores[i][1])
     table = train.sparkSession.createDataFrame(
@@ -160,5 +168,5 @@ def cross_val_accuracy(rows: DataFrame, params=None, folds=5, seed=SEED, paralle
     search = CrossValidator(estimator=boosted_trees(params, seed, label), estimatorParamMaps=[{}],
                             evaluator=accuracy_evaluator(label), numFolds=folds, foldCol="fold",
                             parallelism=parallelism)
-    fitted = search.fit(rows)
+    fitted = search.fit(spread(rows))
     return float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])

@@ -12,35 +12,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_name, strip, words
+from ..session import materialize
 
 
 def _lengths(df, text):
-    """Distinct text lengths. k distinct lengths need at least k*k/2 characters
-    of names, so this stays small enough to broadcast for any input."""
-    return df.select(F.char_length(text).alias("_len")).distinct()
+    """Distinct text lengths, as a scalar array. k distinct lengths need at least
+    k*k/2 characters of names, so the array stays small for any input."""
+    return df.select(F.collect_set(F.char_length(text))).scalar()
 
 
-def _substrings(df, text, lengths):
-    """Every substring of ``text`` that has one of the given lengths, as ``_key``."""
-    sized = (
-        df.withColumn("_len", F.explode(F.sequence(F.lit(1), F.char_length(text))))
-        .join(F.broadcast(lengths), "_len")
-    )
-    starts = F.sequence(F.lit(1), F.char_length(text) - F.col("_len") + 1)
-    pieces = F.transform(starts, lambda i: F.col(text).substr(i, F.col("_len")))
-    return sized.withColumn("_key", F.explode(F.array_distinct(pieces))).drop("_len")
+def _pieces(text, lengths):
+    """Array of every substring of a text that has one of the given lengths."""
+    size = F.char_length(text)
+    usable = F.filter(lengths, lambda n: n <= size)
+    return F.flatten(F.transform(usable, lambda n: F.transform(
+        F.sequence(F.lit(1), size - n + 1), lambda i: text.substr(i, n))))
 
 
-def _word_pairs(df, text):
-    """Every unordered pair of distinct words of ``text``, as ``_key``."""
-    sorted_words = df.withColumn("_words", F.array_sort(words(F.col(text))))
-    pairs = F.flatten(F.transform("_words", lambda w, i: F.transform(
-        F.slice("_words", i + 2, F.size("_words")), lambda v: F.concat(w, F.lit("\u0000"), v))))
-    return sorted_words.withColumn("_key", F.explode(pairs)).drop("_words")
+def _word_pairs(text):
+    """Array of every unordered pair of distinct words of a text."""
+    sorted_words = F.array_sort(words(text))
+    return F.flatten(F.transform(sorted_words, lambda w, i: F.transform(
+        F.slice(sorted_words, i + 2, F.size(sorted_words)), lambda v: F.concat(w, F.lit("\u0000"), v))))
 
 
-def _kind(df, kind, value, key=None):
-    return df.select(F.lit(kind).alias("_kind"), (F.col(key) if key else F.col("_key")).alias("_key"), value)
+def _keys(kind, texts):
+    return F.transform(texts, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("text")))
 
 
 def first_match(names: DataFrame, targets: DataFrame, shared_words=True) -> DataFrame:
@@ -50,39 +47,33 @@ def first_match(names: DataFrame, targets: DataFrame, shared_words=True) -> Data
     compared as they are. A target matches if either text contains the other, or
     (``shared_words``) if they have two words in common.
     """
-    name_lengths, target_lengths = _lengths(names, "name"), _lengths(targets, "text")
-    index = [
-        _kind(targets, "inside", "rank", "text"),
-        _kind(_substrings(targets, "text", name_lengths), "around", "rank"),
-    ]
-    probes = [
-        _kind(_substrings(names, "name", target_lengths), "inside", "name"),
-        _kind(names, "around", "name", "name"),
-    ]
+    name, text = F.col("name"), F.col("text")
+    index = [_keys("inside", F.array(text)), _keys("around", _pieces(text, F.col("_lengths")))]
+    probe = [_keys("inside", _pieces(name, F.col("_lengths"))), _keys("around", F.array(name))]
     if shared_words:
-        index.append(_kind(_word_pairs(targets, "text"), "words", "rank"))
-        probes.append(_kind(_word_pairs(names, "name"), "words", "name"))
-
-    def stacked(parts):
-        whole = parts[0]
-        for part in parts[1:]:
-            whole = whole.unionByName(part)
-        return whole
-
-    first_target = stacked(index).groupBy("_kind", "_key").agg(F.min("rank").alias("rank"))
-    return (
-        stacked(probes).join(first_target, ["_kind", "_key"])
-        .groupBy("name").agg(F.min("rank").alias("best"))
+        index.append(_keys("words", _word_pairs(text)))
+        probe.append(_keys("words", _word_pairs(name)))
+    first_target = (
+        targets.withColumn("_lengths", _lengths(names, "name"))
+        .select("rank", F.explode(F.concat(*index)).alias("key"))
+        .groupBy("key").agg(F.min("rank").alias("rank"))
+    )
+    probes = (
+        names.withColumn("_lengths", _lengths(targets, "text"))
+        .select("name", F.explode(F.array_distinct(F.concat(*probe))).alias("key"))
     )
+    return probes.join(first_target, "key").groupBy("name").agg(F.min("rank").alias("best"))
 
 
 def normalize_names(raw: DataFrame, known_teams: DataFrame, aliases: DataFrame) -> DataFrame:
     """(raw, canonical) for every distinct value of the one-column frame ``raw``.
 
     Aliases (lower case) win; otherwise the first known team in sorted order that
-    matches; NULL if none does or the name is empty.
+    matches; NULL if none does or the name is empty. The distinct names are stored:
+    several branches read them, and the raw rows should be read once.
     """
-    distinct = raw.toDF("raw").distinct().withColumn("name", clean_name("raw"))
+    distinct = materialize(raw.toDF("raw").distinct().withColumn("name", clean_name("raw")), "raw-names")
+    known_teams = materialize(known_teams.select("team").distinct(), "known-teams")
     aliased = distinct.join(aliases.select(F.col("alias").alias("name"), F.col("canonical").alias("_alias")),
                             "name", "left")
     open_names = aliased.where(F.col("_alias").isNull() & F.col("name").isNotNull()).select("name").distinct()
@@ -127,7 +118,7 @@ def team_dim_lookup(teams: DataFrame, dim: DataFrame, default_color) -> DataFram
     """Short label and colour of each team: the first dimension row (by ``ord``)
     whose key contains the name or is contained in it, ignoring case. Unmatched
     names get their first three letters."""
-    distinct = teams.select("team").distinct().withColumn("name", F.lower("team"))
+    distinct = materialize(teams.select("team").distinct().withColumn("name", F.lower("team")), "team-names")
     targets = dim.groupBy(F.lower("key").alias("text")).agg(F.min("ord").alias("rank"))
     found = first_match(distinct.where(F.col("name") != "").select("name").distinct(), targets, shared_words=False)
     return (
@@ -147,13 +138,14 @@ def resolve_roster(roster: DataFrame, known_teams: DataFrame) -> DataFrame:
     An exact name wins; otherwise the first known team, in sorted order, that
     contains a word of more than four letters of the entry (case-sensitive).
     """
-    known = known_teams.select("team").distinct()
+    known = materialize(known_teams.select("team").distinct(), "known-teams")
     exact = roster.join(known, "team", "left_semi")
     loose = (
         roster.join(known, "team", "left_anti")
         .select("ord", F.explode(F.filter(words(F.col("team")), lambda w: F.char_length(w) > 4)).alias("_key"))
     )
-    pieces = _substrings(known, "team", _lengths(loose, "_key"))
+    pieces = known.withColumn("_lengths", _lengths(loose, "_key")).select(
+        "team", F.explode(_pieces(F.col("team"), F.col("_lengths"))).alias("_key"))
     first_target = pieces.groupBy("_key").agg(F.min("team").alias("team"))
     found = loose.join(first_target, "_key").groupBy("ord").agg(F.min("team").alias("team"))
     return (

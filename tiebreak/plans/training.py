@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators.evaluation import classification_report, confusion_matrix, feature_importances, model_comparison
 from ..operators.model_selection import (
-    assembler, cross_val_accuracy, random_forest, random_search, stratified_folds, stratified_split,
-    with_shuffle_key,
+    assembler, cross_val_accuracy, random_forest, random_search, spread, stratified_folds,
+    stratified_split, with_shuffle_key,
 )
 from ..presets import SEARCH_SPACE
 from ..session import checkpoint_root, materialize
@@ -34,7 +34,7 @@ def prepare(rows: DataFrame, ids=("match_id",), test_size=0.2) -> DataFrame:
 def fit(estimator, train: DataFrame) -> PipelineModel:
     """A pipeline of vector assembler and estimator, fitted."""
     checkpoint_root(train.sparkSession)  # boosting cuts its lineage there
-    return Pipeline(stages=[assembler(), estimator]).fit(train)
+    return Pipeline(stages=[assembler(), estimator]).fit(spread(train))
 
 
 def predictions(rows: DataFrame, **models) -> DataFrame:

@@ -43,6 +43,10 @@ def scratch_path(spark, label):
     return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+# tables written by materialize in this process
+_stored = []
+
+
 def materialize(df: DataFrame, label="table") -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
@@ -52,4 +56,13 @@ def materialize(df: DataFrame, label="table") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark):
+    """Deletes the tables ``materialize`` has written; call it when the frames that
+    read them are no longer needed."""
+    while _stored:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
