@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tiebreak.operators import fixtures
 from tiebreak.operators.scoring import linear_scorer
 from tiebreak.plans.forecast import history
+from tiebreak.plans.live import prediction_sink
 from tiebreak.sources.feed import read_feed
 from tiebreak.streaming.feed_stream import feed_stream, read_deduped, start_feed_dedup
 from tests import league as lg
@@ -130,3 +131,15 @@ def test_upcoming_predictions_and_completed(spark, rows):
     assert not out[2].predictable
     done = fixtures.completed_last(feed, known, aliases, n=1).collect()
     assert [(r.item_no, r.team1_name, r.team2_name, r.winner_name) for r in done] == [(5, "T1", "nobody", "T1")]
+
+
+def test_predictions_of_arriving_fixtures(spark, landed, tmp_path):
+    data = [(i, 2020 + i % 2, "Alpha", "Beta", "Alpha", "Beta", "bat", "", "", "") for i in range(6)]
+    past = history(spark.createDataFrame(data, lg.MATCH))
+    aliases = spark.createDataFrame([], "alias string, canonical string")
+    sink = prediction_sink(past, aliases, linear_scorer, str(tmp_path / "predicted"))
+    for q in start_feed_dedup(feed_stream(spark, landed), str(tmp_path / "out"), str(tmp_path / "state"),
+                              on_batch=sink):
+        q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "predicted")).collect()
+    assert [(r.team1, r.team2, r.predictable, r.favourite) for r in got] == [("Beta", "Alpha", True, "Alpha")]

@@ -2,6 +2,7 @@
 
 from ..operators.evaluation import model_scorer
 from ..operators.explore import champions, dataset_profile, title_counts, toss_impact
+from ..operators.names import resolve_roster
 from ..operators.training import START_SEASON, training_rows
 from ..presets import ROSTER, SEARCH_SPACE
 from ..sources.models import load_or_train
@@ -15,9 +16,10 @@ def roster_frame(spark, teams=ROSTER):
 
 
 def run_season(spark, out, paths=CANDIDATE_FILES, order_by=None, schema=None, roster=None, start=START_SEASON,
-               space=SEARCH_SPACE, n_iter=30, folds=5, legs=2):
+               space=SEARCH_SPACE, n_iter=30, folds=5, legs=2, loose_names=False):
     """Writes matches, training rows and the model below ``out``; returns the frames
-    a reader wants. A model already stored there is used as it is."""
+    a reader wants. A model already stored there is used as it is. ``loose_names``
+    also accepts roster entries that share a long word with a known team."""
     write_table(load_matches(spark, paths, order_by, schema), f"{out}/matches")
     matches = spark.read.parquet(f"{out}/matches")
     write_table(training_rows(matches, start, keep=("match_id",)), f"{out}/training")
@@ -26,8 +28,11 @@ def run_season(spark, out, paths=CANDIDATE_FILES, order_by=None, schema=None, ro
         spark, f"{out}/model",
         lambda: train_and_evaluate(training, space=space, n_iter=n_iter, folds=folds).bundle)
     champs = champions(matches)
-    result = forecast(history(matches), roster if roster is not None else roster_frame(spark),
-                      model_scorer(bundle.model), legs)
+    past = history(matches)
+    teams = roster if roster is not None else roster_frame(spark)
+    if loose_names:
+        teams = resolve_roster(teams, past.features)
+    result = forecast(past, teams, model_scorer(bundle.model), legs)
     return {
         "profile": dataset_profile(matches),
         "champions": champs,
