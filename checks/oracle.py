@@ -228,7 +228,7 @@ def oracle(name, ctes, select):
 oracle("scan_csv_roundtrip", MATCHES, f"select {MATCH_COLS} from matches")
 oracle("normalize_columns", "", "select c_custkey as cust_key, c_name as customer_name, c_mktsegment as segment from customer")
 oracle("matches_passthrough", "", """select mid as match_id, yr as season, home as team1, away as team2, away as winner,
-  case when mid % 500 = 0 then 'final' else 'league' end as stage from contest where mid % 4 <> 0""")
+  case when mid % 500 = 0 then 'final' else 'league' end as stage from contest where order_status <> 'P'""")
 oracle("training_schema_default", TRAINING, "select match_id, t1_win_rate, 0.5e0 as t1_h2h_win_rate from training")
 oracle("feed_parse", "", f"select {FEED} from feed where endpoint_no = 0")
 oracle("feed_union", "", f"select {FEED} from feed")

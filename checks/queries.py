@@ -53,7 +53,7 @@ def matches_passthrough(spark, sf):
     """Match-level input: only missing winners go."""
     c = d.contests(spark, sf).selectExpr(
         "mid as match_id", "yr as season", "home as team1", "away as team2",
-        "case when mid % 4 = 0 then null else away end as winner",
+        "case when order_status = 'P' then null else away end as winner",
         "case when mid % 500 = 0 then 'Final' else 'League' end as stage")
     return mt.matches_from_table(c)
 
@@ -467,7 +467,8 @@ def model_comparison(spark, sf):
 
 
 def _train_test(spark, sf):
-    split = prepare(tr.training_rows(d.stored_matches(spark, sf), d.START_SEASON, keep=("match_id",)))
+    rows = tr.training_rows(d.stored_matches(spark, sf), d.START_SEASON, keep=("match_id",))
+    split = prepare(materialize(rows, "training"))
     return split.where("is_train"), split.where("NOT is_train")
 
 
@@ -575,12 +576,12 @@ def round_robin_pairs(spark, sf):
 
 @query
 def standings_two_leg(spark, sf):
-    return _forecast(spark, sf).table.select("rank", "team", "expected_points")
+    return _forecast(spark, sf).standings
 
 
 @query
 def standings_single_leg(spark, sf):
-    return _forecast(spark, sf, legs=1).table.select("rank", "team", "expected_points")
+    return _forecast(spark, sf, legs=1).standings
 
 
 @query
@@ -595,7 +596,7 @@ def standings_share_of_max(spark, sf):
 
 @query
 def playoff_cutoff(spark, sf):
-    return st.playoff_cutoff(_forecast(spark, sf).table)
+    return st.playoff_cutoff(_forecast(spark, sf).standings)
 
 
 @query
@@ -605,7 +606,7 @@ def matchup_detail(spark, sf):
 
 @query
 def playoff_seeds_(spark, sf):
-    return playoff_seeds(_forecast(spark, sf).table)
+    return playoff_seeds(_forecast(spark, sf).standings)
 
 
 @query

@@ -1,6 +1,7 @@
 """From a matches table and a roster to standings, bracket and champion."""
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -33,26 +34,37 @@ def history(matches: DataFrame, keys=()) -> History:
     return History(materialize(features, "features"), records)
 
 
-@dataclass
 class Forecast:
-    table: DataFrame
-    detail: DataFrame
-    bracket: DataFrame
-    champion: DataFrame
-
-
-def forecast(past: History, roster: DataFrame, scorer, legs=2, keys=()) -> Forecast:
-    """Season forecast of every league in ``roster(ord, team)``.
+    """Season forecast of every league in ``roster(ord, team)``; frames are planned
+    when asked for.
 
     The scored round robin is stored once; standings and bracket both read it.
     """
-    valid = teams_present(roster, past.features, keys)
-    scored = materialize(score_round_robin(valid, past.features, past.records, scorer, keys), "round-robin")
-    table = standings(expected_points(valid, scored, legs, keys), keys)
-    bracket = playoff_bracket(table, scored, keys)
-    return Forecast(
-        table=with_share_of_leader(with_qualification(table), keys),
-        detail=matchup_detail(round_robin(valid, keys), past.features, past.records, scorer, keys),
-        bracket=bracket,
-        champion=champion_prediction(bracket, keys),
-    )
+
+    def __init__(self, past: History, roster: DataFrame, scorer, legs=2, keys=()):
+        self._past, self._scorer, self._keys = past, scorer, keys
+        self._valid = teams_present(roster, past.features, keys)
+        self.scored = materialize(
+            score_round_robin(self._valid, past.features, past.records, scorer, keys), "round-robin")
+        self.standings = standings(expected_points(self._valid, self.scored, legs, keys), keys)
+
+    @cached_property
+    def table(self) -> DataFrame:
+        return with_share_of_leader(with_qualification(self.standings), self._keys)
+
+    @cached_property
+    def detail(self) -> DataFrame:
+        return matchup_detail(round_robin(self._valid, self._keys), self._past.features, self._past.records,
+                              self._scorer, self._keys)
+
+    @cached_property
+    def bracket(self) -> DataFrame:
+        return playoff_bracket(self.standings, self.scored, self._keys)
+
+    @cached_property
+    def champion(self) -> DataFrame:
+        return champion_prediction(self.bracket, self._keys)
+
+
+def forecast(past: History, roster: DataFrame, scorer, legs=2, keys=()) -> Forecast:
+    return Forecast(past, roster, scorer, legs, keys)

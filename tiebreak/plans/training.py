@@ -27,7 +27,8 @@ class TrainingReport:
 
 
 def prepare(rows: DataFrame, ids=("match_id",), test_size=0.2) -> DataFrame:
-    """Stored training rows with ``is_train``."""
+    """Stored training rows with ``is_train``. ``rows`` should be a stored table: it
+    is read for the sizes and for the rows."""
     return materialize(stratified_split(with_shuffle_key(rows, ids), ids, test_size=test_size), "split")
 
 
