@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tiebreak.functions.rounding import exact_round
 from tiebreak.operators import compare, evaluation, explore, facts, fixtures, matches as mt, model_selection as ms
 from tiebreak.operators import names, scoring, standings as st, team_features as tf, training as tr
-from tiebreak.operators.bracket import champion_prediction, playoff_bracket, playoff_seeds
+from tiebreak.operators.bracket import playoff_seeds
 from tiebreak.operators.head_to_head import attach_head_to_head, head_to_head_record, pair_records, pair_records_point_in_time
 from tiebreak.plans.forecast import forecast, history
 from tiebreak.plans.training import fit, predictions, prepare
