@@ -138,6 +138,15 @@ def accuracy_evaluator(label=LABEL_COL):
     return MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy")
 
 
+def _fit_on_cached(search, rows):
+    """Every fold and combination reads the same vectors."""
+    vectors = spread(rows).persist()
+    try:
+        return search.fit(vectors)
+    finally:
+        vectors.unpersist()
+
+
 @dataclass
 class SearchResult:
     model: object
@@ -153,7 +162,7 @@ def random_search(train: DataFrame, space, n_iter=30, folds=5, seed=SEED, parall
     maps = [{getattr(gbt, GBT_PARAMS[k]): _gbt_value(k, v) for k, v in combo.items()} for combo in combos]
     search = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=accuracy_evaluator(label),
                             numFolds=folds, foldCol="fold", parallelism=parallelism)
-    fitted = search.fit(spread(train))
+    fitted = _fit_on_cached(search, train)
     scores = list(zip(combos, fitted.avgMetrics, fitted.stdMetrics))
     best = max(range(len(scores)), key=lambda i: scores[i][1])
     table = train.sparkSession.createDataFrame(
@@ -168,5 +177,5 @@ def cross_val_accuracy(rows: DataFrame, params=None, folds=5, seed=SEED, paralle
     search = CrossValidator(estimator=boosted_trees(params, seed, label), estimatorParamMaps=[{}],
                             evaluator=accuracy_evaluator(label), numFolds=folds, foldCol="fold",
                             parallelism=parallelism)
-    fitted = search.fit(spread(rows))
+    fitted = _fit_on_cached(search, rows)
     return float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])
