@@ -60,6 +60,38 @@ def materialize(df: DataFrame, label="table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Stored:
+    """The intermediate tables of one job, below one folder that goes when they do.
+
+    ``with Stored(spark, "job") as tables`` drops them at the end of the block. Without
+    the block the frames read from them stay usable until ``drop`` is called, on all
+    tables or on those named.
+    """
+
+    def __init__(self, spark, label="tables"):
+        self.spark, self.path = spark, scratch_path(spark, label)
+        self._n = 0
+
+    def write(self, df: DataFrame, label="table") -> DataFrame:
+        self._n += 1
+        path = f"{self.path}/{label}-{self._n}"
+        df.write.parquet(path)
+        frame = self.spark.read.schema(df.schema).parquet(path)
+        frame._stored_at = path
+        return frame
+
+    def drop(self, *frames):
+        for path in [f._stored_at for f in frames] or [self.path]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.drop()
+
+
 def drop_stored(spark):
     """Deletes the tables ``materialize`` has written; call it when the frames that
     read them are no longer needed."""
