@@ -1,6 +1,6 @@
 """Registered queries of this subpackage: name -> callable (spark, sf_dir) -> DataFrame."""
 
-from . import simhash
+from . import simhash, suffixes
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -20,3 +20,10 @@ def op3_simhash_near_dedup(spark, sf_dir):
     """Four-word shingles, links at four or fewer differing bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, bits=4)
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+@query
+def op4_suffix_array_dedup(spark, sf_dir):
+    """Passages of 50 words and more that occur at several places."""
+    found = suffixes.repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
+    return found.select("doc_id", "first_word", "n_words", "dropped", "source_ids")

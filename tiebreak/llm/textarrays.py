@@ -96,9 +96,16 @@ def runs(text, n_texts):
 def rolling(hashes, k):
     """Hash of every ``k`` words in a row; the value at i covers words i to i + k - 1."""
     n = len(hashes) - k + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for j in range(k if n > 0 else 0):
-        out = mix(out + FNV_PRIME) + hashes[j: j + n]
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, at, block, size = np.full(n, np.uint64(k)), 0, hashes, 1
+    while size <= k:
+        if k & size:
+            out = mix(out + FNV_PRIME) + block[at: at + n]
+            at += size
+        size *= 2
+        if size <= k:
+            block = mix(block[: -size // 2] * MIX1 + block[size // 2:])
     return mix(out)
 
 
