@@ -1,16 +1,44 @@
 """Documents to packed training batches: the stages in order, each written and read again."""
 
-from tiebreak.llm import simhash
+from pyspark.sql import functions as F
+
+from tiebreak.llm import decontaminate, packing, quality_rules, simhash, suffixes
 from tiebreak.session import Stored
 
 
+def quality(spark, docs, sf_dir):
+    """Documents that the quality rules reject go; the target are those that labels mark as good."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules.keep_good(docs, quality_rules.trusted_ids(labels))
+
+
 def near_duplicates(spark, docs, sf_dir):
     """One document of each SimHash group stays: 4-word shingles, 4 bits."""
     return simhash.drop_near_duplicates(docs, k=4, bits=4)
 
 
+def repeats(spark, docs, sf_dir):
+    """Passages of 50 words and more stay in their first place only; ``n_chars`` follows."""
+    cut = suffixes.cut_repeats(docs, min_words=50)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def benchmark(spark, docs, sf_dir):
+    """Documents that overlap a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark, docs, sf_dir):
+    """Pieces of the texts that are left, in token-budget batches of like length."""
+    return packing.pack(docs).drop("text_key")
+
+
 STAGES = [
+    ("quality_rules", quality),
     ("simhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", repeats),
+    ("benchmark_decontamination", benchmark),
+    ("packing", pack),
 ]
 
 # the stages hash n-grams and tokenise: no SQL engine expresses them

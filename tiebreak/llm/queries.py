@@ -1,6 +1,6 @@
 """Registered queries of this subpackage: name -> callable (spark, sf_dir) -> DataFrame."""
 
-from . import simhash, suffixes
+from . import decontaminate, packing, quality_rules, simhash, suffixes
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -27,3 +27,23 @@ def op4_suffix_array_dedup(spark, sf_dir):
     """Passages of 50 words and more that occur at several places."""
     found = suffixes.repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
     return found.select("doc_id", "first_word", "n_words", "dropped", "source_ids")
+
+
+@query
+def op5_quality_rules(spark, sf_dir):
+    """Trusted target: the documents that labels mark as good."""
+    trusted = quality_rules.trusted_ids(table(spark, sf_dir, "labels"))
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
+@query
+def op8_benchmark_decontamination(spark, sf_dir):
+    """12 equal words, 80 % of the overlap."""
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "first_word", "n_words", "n_matches", "item_words")
+
+
+@query
+def op9_packing(spark, sf_dir):
+    """Pieces of 2,048 tokens, eight length buckets, batches of 65,536 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents")).drop("text_key")
