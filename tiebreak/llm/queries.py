@@ -1,6 +1,8 @@
 """Registered queries of this subpackage: name -> callable (spark, sf_dir) -> DataFrame."""
 
-from . import decontaminate, packing, quality_rules, simhash, suffixes
+from pyspark.sql import functions as F
+
+from . import decontaminate, html_text, language_id, packing, quality_rules, simhash, suffixes, url_filter
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -15,6 +17,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(n):
+    """crc32 of the id as text, modulo ``n``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
 @query
 def op3_simhash_near_dedup(spark, sf_dir):
     """Four-word shingles, links at four or fewer differing bits."""
@@ -47,3 +54,24 @@ def op8_benchmark_decontamination(spark, sf_dir):
 def op9_packing(spark, sf_dir):
     """Pieces of 2,048 tokens, eight length buckets, batches of 65,536 tokens."""
     return packing.pack(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@query
+def op6_html_extraction(spark, sf_dir):
+    """The article of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_url_filter(spark, sf_dir):
+    """Five rules, and models learned from the urls they judge."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_language_id(spark, sf_dir):
+    """Learned from two thirds of the documents, predicted for all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").withColumn(
+        "held_out", F.coalesce(fold(3) == 1, F.lit(False)))
+    model = language_id.learn(docs.where("not held_out"))
+    return language_id.predict(docs, model, keep=["held_out"])
