@@ -16,6 +16,8 @@ from .components import connected
 from .textarrays import LOWER, SPACE, chunks, runs, words
 
 BLOCK = 1 << 18
+# the eight bits of a byte, each in a byte of its own
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def _shingle_bits(data, offsets, k):
@@ -43,9 +45,13 @@ def _shingle_bits(data, offsets, k):
         s, e, o = starts[first[at: at + BLOCK]], ends[last[at: at + BLOCK]], owner[at: at + BLOCK]
         digest = xxhash.xxh64_intdigest
         h = np.fromiter((digest(flat[i:j], 42) for i, j in zip(s.tolist(), e.tolist())), np.uint64, len(s))
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        cut = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
-        counts[o[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
+        # sums of up to 255 rows fit the bytes of eight lanes; those sums are added up per text
+        lanes = LANES[h.astype("<u8").view(np.uint8).reshape(-1, 8)]
+        cut = np.unique(np.r_[np.flatnonzero(np.r_[True, o[1:] != o[:-1]]), np.arange(0, len(o), 255)])
+        sums = np.add.reduceat(lanes, cut, axis=0).view(np.uint8)
+        of = o[cut]
+        first_of = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        counts[of[first_of]] += np.add.reduceat(sums, first_of, axis=0, dtype=np.int64)
     return counts, n_shingles
 
 
@@ -98,30 +104,73 @@ def _half_variants(fps, radius):
         .select("fp", F.expr("(half ^ m) + side").alias("v")))
 
 
-def _bucket_links(bits):
-    """Spanning links of each small bucket, from all its pairs within ``bits`` bits."""
+def _spanning(x, bits):
+    """Links that span the near pairs among a few fingerprints."""
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= bits
+    seen, links = np.zeros(len(x), bool), []
+    for i in range(len(x)):
+        if seen[i]:
+            continue
+        seen[i], edge = True, [i]
+        while edge:
+            i = edge.pop()
+            new = np.flatnonzero(near[i] & ~seen)
+            seen[new] = True
+            edge += new.tolist()
+            links += [(x[i], x[j]) for j in new]
+    return links
+
+
+def _bucket_links(bits, small):
+    """Of rows (v, fp) sorted by v: links that span the near pairs of each bucket, or (fp, null)
+    for the members of a bucket larger than ``small``, which stream through."""
+    def emit(links, crowd):
+        a = np.array([x for x, _ in links] + crowd, np.uint64).view(np.int64)
+        b = np.array([y for _, y in links] + [0] * len(crowd), np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a), pa.array(b, mask=np.arange(len(a)) >= len(links))], ["a", "b"])
+
     def run(batches):
+        held_v, held, streaming = None, np.zeros(0, np.uint64), False
         for batch in batches:
-            left, right = [], []
-            for fps in batch.column("fps"):
-                x = np.sort(np.array(fps.as_py(), np.int64)).view(np.uint64)
-                near = np.bitwise_count(x[:, None] ^ x[None, :]) <= bits
-                todo = np.ones(len(x), bool)
-                while todo.any():
-                    seen = np.zeros(len(x), bool)
-                    edge = [int(np.flatnonzero(todo)[0])]
-                    seen[edge] = True
-                    while edge:
-                        i = edge.pop()
-                        new = np.flatnonzero(near[i] & ~seen)
-                        seen[new] = True
-                        edge += new.tolist()
-                        left += [x[i]] * len(new)
-                        right += x[new].tolist()
-                    todo &= ~seen
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(left, np.uint64).view(np.int64)), pa.array(np.array(right, np.uint64).view(np.int64))],
-                ["a", "b"])
+            v = batch.column("v").to_numpy()
+            fp = batch.column("fp").to_numpy().view(np.uint64)
+            if not len(v):
+                continue
+            links, crowd = [], []
+            cuts = np.r_[0, np.flatnonzero(v[1:] != v[:-1]) + 1, len(v)]
+            # what is held of the bucket before: closed, or joined to the first bucket of this batch
+            if held_v is not None and v[0] != held_v:
+                links += _spanning(held, bits) if len(held) > 1 else []
+                held, streaming = held[:0], False
+            first, last = fp[: cuts[1]], fp[cuts[-2]:]
+            if streaming:
+                crowd += first.tolist()
+            elif len(held) + len(first) > small:
+                crowd += held.tolist() + first.tolist()
+                held, streaming = held[:0], True
+            else:
+                held = np.r_[held, first]
+            held_v = v[-1]
+            if len(cuts) > 2:
+                links += _spanning(held, bits) if not streaming and len(held) > 1 else []
+                size = np.diff(cuts)[1:-1]
+                at = cuts[1:-2][size == 2]
+                pair = np.bitwise_count(fp[at] ^ fp[at + 1]) <= bits
+                links += zip(fp[at[pair]], fp[at[pair] + 1])
+                for i in np.flatnonzero(size > 2) + 1:
+                    x = fp[cuts[i]: cuts[i + 1]]
+                    if len(x) > small:
+                        crowd += x.tolist()
+                    else:
+                        links += _spanning(x, bits)
+                held, streaming = last, len(last) > small
+                if streaming:
+                    crowd += last.tolist()
+                    held = held[:0]
+            yield emit(links, crowd)
+        if len(held) > 1:
+            yield emit(_spanning(held, bits), [])
     return run
 
 
@@ -136,17 +185,14 @@ def ball_links(fps: DataFrame, bits: int, tables: Stored, halves: bool = True, s
 
     With ``halves`` the same is done first for each 32-bit half, one of which differs in at
     most half the bits: 2 x 33 variants for 4 bits. Members of such a bucket are near in
-    that half only, so they are verified: two directly, up to ``small`` inside a task,
-    where only the links that span the bucket leave it. Fingerprints of a larger bucket,
-    where near copies crowd, emit the whole ball among themselves. Every link found by
-    the whole ball is found this way.
+    that half only, so up to ``small`` of them are verified inside the task, and only links that
+    span the bucket leave it. Fingerprints of a larger bucket, where near copies crowd,
+    emit the whole ball among themselves. All that the whole ball links is linked this way.
     """
     def whole_ball(some):
         v = _variants(some, ball(64, bits // 2))
         linked = v.select(F.col("fp").alias("b"), F.lag("fp").over(W.partitionBy("v").orderBy("fp")).alias("a"))
-        links = linked.where("a is not null").select("a", "b").distinct()
-        # an odd distance: the two sides meet half a bit off, so neighbours are verified
-        return links if bits % 2 == 0 else None
+        return linked.where("a is not null").select("a", "b").distinct()
 
     if bits % 2:
         raise ValueError("an even number of bits has a middle")
@@ -154,17 +200,10 @@ def ball_links(fps: DataFrame, bits: int, tables: Stored, halves: bool = True, s
         return whole_ball(fps)
     radius = (bits // 2 + 1) // 2
     met = tables.write(
-        _half_variants(fps, radius).groupBy("v").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n"))
-        .where("n > 1"), "met")
-    near = F.expr(f"bit_count(a ^ b) <= {bits}")
-    two = met.where("n = 2").where(near).select("a", "b")
-    some = tables.write(
-        _half_variants(fps, radius).join(met.where("n > 2").select("v", "n"), "v"), "crowded")
-    few = (
-        some.where(F.col("n") <= small).groupBy("v").agg(F.collect_list("fp").alias("fps")).select("fps")
-        .mapInArrow(_bucket_links(bits), "a long, b long"))
-    many = whole_ball(some.where(F.col("n") > small).select("fp").distinct())
-    return two.union(few).union(many)
+        _half_variants(fps, radius).repartition("v").sortWithinPartitions("v")
+        .mapInArrow(_bucket_links(bits, small), "a long, b long"), "met")
+    crowd = met.where("b is null").select(F.col("a").alias("fp")).distinct()
+    return met.where("b is not null").union(whole_ball(crowd))
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, bits: int = 4, halves: bool = True,
