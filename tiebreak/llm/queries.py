@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language_id, packing, quality_rules, simhash, suffixes, url_filter
+from . import decontaminate, html_text, language_id, license_scan, packing, quality_classifier, quality_rules, simhash, suffixes, url_filter
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -75,3 +75,19 @@ def op10_language_id(spark, sf_dir):
         "held_out", F.coalesce(fold(3) == 1, F.lit(False)))
     model = language_id.learn(docs.where("not held_out"))
     return language_id.predict(docs, model, keep=["held_out"])
+
+
+@query
+def op2_quality_classifier(spark, sf_dir):
+    """Labels of four fifths of the ids; every document is scored."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn(
+        "held_out", F.coalesce(fold(5) == 0, F.lit(False)))
+    model = quality_classifier.learn(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
+    return quality_classifier.score(docs, model, keep=["held_out"], threshold=0.3)
+
+
+@query
+def op1_license_scan(spark, sf_dir):
+    """Licence notices in every paragraph of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.learn(docs))
