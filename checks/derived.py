@@ -98,11 +98,7 @@ def contests(spark, sf_dir):
 
 
 def deliveries(spark, sf_dir):
-    # by match from the start: the join with the contests and the aggregations per
-    # match all keep this partitioning, whether or not the contests are broadcast
-    balls = (
-        table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mid"), "l_linenumber").repartition("mid")
-    )
+    balls = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mid"), "l_linenumber")
     return balls.join(contests(spark, sf_dir), "mid").selectExpr(*[f"{e} as {c}" for c, e in DELIVERY_COLS])
 
 
@@ -123,9 +119,15 @@ def feed(spark, sf_dir):
     return rows.select(*FEED_FLAT)
 
 
-def write_feed_pages(spark, sf_dir):
-    """Lands the feed as JSON pages in its several shapes; folder per endpoint."""
-    c = contests(spark, sf_dir).selectExpr("*", *[f"{e} as f_{c}" for c, e in FEED_COLS])
+def write_feed_pages(spark, sf_dir, only="true", root=None, early=False, single_file=False):
+    """Lands the feed as JSON pages in its several shapes; folder per endpoint.
+
+    ``only`` picks the contests, ``root`` adds to a landing, ``early`` gives the pages as they were
+    before the contest: scheduled, no winner. ``single_file`` makes one file per endpoint.
+    """
+    c = contests(spark, sf_dir).selectExpr("*", *[f"{e} as f_{c}" for c, e in FEED_COLS]).where(only)
+    if early:
+        c = c.withColumns({"f_status": F.lit("Scheduled"), "f_winner": F.lit("")})
     team1 = F.struct((F.col("h") + 1).alias("id"), F.when(F.col("mid") % 2 == 0, F.col("f_team1")).alias("longName"),
                      F.when(F.col("mid") % 2 == 1, F.col("f_team1")).alias("name"))
     team2 = F.struct((F.col("a") + 1).alias("id"), F.col("f_team2").alias("longName"), F.lit(None).cast("string").alias("name"))
@@ -147,14 +149,35 @@ def write_feed_pages(spark, sf_dir):
 
     iso = F.concat(F.col("dt"), F.lit("T10:00:00.000Z"))
     text = F.when(F.col("mid") % 3 == 0, page(F.struct(iso.alias("iso")))).otherwise(page(iso))
-    root = scratch_path(spark, "feed")
+    root = root or scratch_path(spark, "feed")
     pages = c.select("order_status", text.alias("value"))
-    pages.select("value").write.text(f"{root}/current")
-    pages.where("order_status = 'F'").select("value").write.text(f"{root}/recent")
+    if single_file:
+        pages = pages.coalesce(1)
+    pages.select("value").write.mode("append").text(f"{root}/current")
+    pages.where("order_status = 'F'").select("value").write.mode("append").text(f"{root}/recent")
     # the endpoint "upcoming" is never landed: a failing endpoint is skipped
     return {e: f"{root}/{e}" for e in ("current", "upcoming", "recent")}
 
 
+def write_bad_pages(spark, sf_dir):
+    """Pages of up to three items, some of them unreadable, some ids mistyped, and lines that are no pages."""
+    c = contests(spark, sf_dir)
+    team = lambda i, name: F.struct(F.struct(
+        F.when(F.col("mid") % 7 == 0, F.concat(F.lit("x"), i.cast("string"))).otherwise(i.cast("string")).alias("id"),
+        name.alias("longName")).alias("team"))
+    good = F.to_json(F.struct(F.array(team(F.col("h"), F.col("home")), team(F.col("a"), F.col("away"))).alias("teams"),
+                              F.lit("Scheduled").alias("status")))
+    bad = F.concat(F.lit('{"teams":"x7","status":"'), F.col("mid").cast("string"), F.lit('"}'))
+    items = c.select((F.col("mid") / 3).cast("long").alias("page"), "mid", F.when(F.col("mid") % 11 == 0, bad).otherwise(good).alias("t"))
+    content = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("mid", "t"))), lambda x: x["t"]), ",")
+    pages = items.groupBy("page").agg(content.alias("content"))
+    line = F.concat(F.lit('{"page":'), F.col("page").cast("string"), F.lit(',"content":['), F.col("content"), F.lit("]}"))
+    broken = F.when(F.col("page") % 13 == 0, F.array(line, F.lit("{ this is no JSON"))).otherwise(F.array(line))
+    path = scratch_path(spark, "bad-feed")
+    pages.select(F.explode(broken).alias("value")).write.text(path)
+    return {"current": path}
+
+
 def aliases(spark):
     return spark.createDataFrame([(f"n{k}", f"NATION_{k}") for k in range(TEAMS)], "alias string, canonical string")
 

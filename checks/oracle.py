@@ -528,6 +528,27 @@ s as (
   case when predictable then greatest(p1, 1.0e0 - p1) end as favourite_prob,
   p1, 1.0e0 - p1 as p2, predictable from s""")
 oracle("feed_stream_dedup", "", f"select {FEED} from {_dedup('feed')}")
+# "recent" lands after "current"
+oracle("feed_stream_latest", "", f"select {FEED} from {_dedup('feed').replace('order by endpoint_no,', 'order by endpoint_no desc,')}")
+oracle("feed_bad_items", "", """select 'row' as problem, count(*) as n from contest where mid % 11 <> 0
+  union all select 'item', count(*) from contest where mid % 11 = 0
+  union all select 'page', count(distinct mid // 3) from contest where (mid // 3) % 13 = 0""")
+
+# fitted models: what must hold whatever the fit
+oracle("rf_baseline_accuracy", TRAINING, "select cast(ceil(count(*) * 0.2e0) as bigint) as holdout_rows, true as useful from training")
+oracle("gbt_accuracy", TRAINING, "select cast(ceil(count(*) * 0.2e0) as bigint) as holdout_rows, true as useful from training")
+oracle("fitted_model_comparison", "", "select true as baseline_useful, true as model_useful, true as gain_fits")
+oracle("feature_importances", "", "select cast(14 as bigint) as features, true as adds_up, true as none_negative")
+oracle("model_roundtrip_score", TRAINING, "select cast(ceil(count(*) * 0.2e0) as bigint) as holdout_rows, 0.0e0 as moved from training")
+oracle("stored_model_reused", TRAINING, "select cast(ceil(count(*) * 0.2e0) as bigint) as holdout_rows, cast(1 as int) as trained from training")
+oracle("score_fixtures_model", "", "select count(*) as teams, 180.0e0 as points, cast(1 as int) as best, cast(count(*) as int) as last from roster")
+oracle("training_shape", TRAINING, "select count(*) as rows, cast(18 as int) as columns from training")
+oracle("winner_fallback", MATCHES, "select match_id, season, team1, team2, winner from matches")
+oracle("all_time_wins_by_league", LEAGUES, """select league, team, wins from (
+  select *, row_number() over (partition by league order by wins desc, team) as rn
+  from (select league, winner as team, count(*) as wins from matches group by all)) where rn <= 3""")
+oracle("leaderboard_by_league", LEAGUES, """select league, team, win_rate from (
+  select *, row_number() over (partition by league order by win_rate desc, team) as rn from lfeat) where rn <= 3""")
 
 # a select that starts with "," continues the CTE list
 for _name, _sql in ORACLE_SQL.items():

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,9 +7,10 @@ from pyspark.sql import functions as F
 from tiebreak.operators import fixtures
 from tiebreak.operators.scoring import linear_scorer
 from tiebreak.plans.forecast import history
-from tiebreak.plans.live import prediction_sink
-from tiebreak.sources.feed import read_feed
-from tiebreak.streaming.feed_stream import feed_stream, read_deduped, start_feed_dedup
+from tiebreak.plans.live import alias_frame, prediction_sink
+from tiebreak.session import checkpoint_root
+from tiebreak.sources.feed import bad_items, read_feed, read_pages
+from tiebreak.streaming.feed_stream import compact_feed, feed_stream, read_deduped, read_latest, start_feed_dedup
 from tests import league as lg
 
 
@@ -87,23 +89,60 @@ def test_status_buckets_overlap(spark, landed, rows):
 def test_stream_equals_batch(spark, landed, rows, tmp_path, max_files):
     stream = feed_stream(spark, landed, max_files)
     seen = []
-    queries = start_feed_dedup(stream, str(tmp_path / "out"), str(tmp_path / "state"), delay="365 days",
-                               on_batch=lambda df, no: seen.append(df.count()))
-    for q in queries:
-        q.awaitTermination()
+    start_feed_dedup(stream, str(tmp_path / "out"), str(tmp_path / "state"),
+                     on_batch=lambda df, no: seen.append(df.count())).awaitTermination()
     got = read_deduped(spark, str(tmp_path / "out"), stream.schema)
     assert rows(got) == rows(fixtures.dedup_feed(read_feed(spark, landed)))
     assert sum(seen) >= 2
-    # a page that arrives later only adds its new fixtures
-    land(tmp_path / "late", [])
-    (tmp_path / "current" / "9.json").write_text(json.dumps(
-        {"page": 3, "content": [item(A, B, startDate="2026-04-01"), item(B, A, startDate="2026-05-01")]}) + "\n")
-    for q in start_feed_dedup(feed_stream(spark, landed, max_files), str(tmp_path / "out"), str(tmp_path / "state"),
-                              delay="365 days"):
-        q.awaitTermination()
+    # pages that arrive later count whatever their dates: years ahead, then long past
+    for name, date in (("8", "2036-05-01"), ("9", "2016-05-01")):
+        (tmp_path / "current" / f"{name}.json").write_text(json.dumps(
+            {"page": 3, "content": [item(A, B, startDate="2026-04-01"), item(B, A, startDate=date)]}) + "\n")
+        start_feed_dedup(feed_stream(spark, landed, max_files), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     again = read_deduped(spark, str(tmp_path / "out"), stream.schema)
-    assert rows(again) == rows(fixtures.dedup_feed(read_feed(spark, landed)))
-    assert again.count() == got.count() + 1
+    want = rows(fixtures.dedup_feed(read_feed(spark, landed)))
+    assert rows(again) == want and again.count() == got.count() + 2
+    compact_feed(spark, str(tmp_path / "out"), stream.schema)
+    compact_feed(spark, str(tmp_path / "out"), stream.schema)
+    assert rows(read_deduped(spark, str(tmp_path / "out"), stream.schema)) == want
+    assert len([p for p in (tmp_path / "out").iterdir() if p.is_dir()]) == 1
+
+
+def test_a_result_shows_once_it_is_known(spark, tmp_path):
+    paths = {"current": str(tmp_path / "current")}
+    for page, status, winner in ((1, "Scheduled", 0), (2, "Result", 1)):
+        land(tmp_path / "current", []) and (tmp_path / "current" / f"{page}.json").write_text(json.dumps(
+            {"page": page, "content": [item(A, B, startDate="2026-04-01", status=status, winnerTeamId=winner)]}) + "\n")
+        stream = feed_stream(spark, paths)
+        start_feed_dedup(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    out = str(tmp_path / "out")
+    assert [(r.status, r.winner) for r in read_latest(spark, out, stream.schema).collect()] == [("Result", "Alpha")]
+    assert [r.status for r in read_deduped(spark, out, stream.schema).collect()] == ["Scheduled"]
+    assert read_latest(spark, str(tmp_path / "nothing"), stream.schema).count() == 0
+
+
+def test_unreadable_parts_cost_themselves_only(spark, tmp_path, rows):
+    bad = [{"teams": "x"}, 5, item(A, {"id": "x7", "longName": "Gamma"}, ground=7, winnerTeamId="x7")]
+    paths = {"current": land(tmp_path / "current", [
+        {"page": 1, "content": [item(A, B), *bad]}, "{ no json", {"page": 2, "content": "zz", "matches": [item(B, A)]}])}
+    assert rows(read_feed(spark, paths), "page_no", "item_no", "team1", "team2", "winner", "venue") == [
+        (1, 0, "Alpha", "Beta", "", ""), (1, 3, "Alpha", "Gamma", "Gamma", ""), (2, 0, "Beta", "Alpha", "", "")]
+    assert rows(bad_items(read_pages(spark, paths)), "page_no", "item_no", "problem", "kept") == [
+        (1, 1, "item", False), (1, 2, "item", False), (1, 3, "item", True), (2, None, "page", True), (None, None, "page", False)]
+
+
+def test_batches_leave_no_tables_behind(spark, landed, tmp_path):
+    data = [(i, 2020 + i % 2, "Alpha", "Beta", "Alpha", "Beta", "bat", "", "", "") for i in range(6)]
+    past = history(spark.createDataFrame(data, lg.MATCH))
+    root = checkpoint_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    for i in range(5):
+        (tmp_path / "current" / f"more{i}.json").write_text(json.dumps(
+            {"page": 10 + i, "content": [item(B, A, startDate=f"2026-06-0{i + 1}")]}) + "\n")
+        start_feed_dedup(feed_stream(spark, landed), str(tmp_path / "out"), str(tmp_path / "state"),
+                         on_batch=prediction_sink(past, alias_frame(spark, {}), linear_scorer, str(tmp_path / "p"))).awaitTermination()
+    assert set(os.listdir(root)) == before
+    assert spark.read.parquet(str(tmp_path / "p")).where("date like '2026-06%'").count() == 5
 
 
 def test_upcoming_predictions_and_completed(spark, rows):
@@ -136,10 +175,10 @@ def test_upcoming_predictions_and_completed(spark, rows):
 def test_predictions_of_arriving_fixtures(spark, landed, tmp_path):
     data = [(i, 2020 + i % 2, "Alpha", "Beta", "Alpha", "Beta", "bat", "", "", "") for i in range(6)]
     past = history(spark.createDataFrame(data, lg.MATCH))
-    aliases = spark.createDataFrame([], "alias string, canonical string")
+    aliases = alias_frame(spark, {})
     sink = prediction_sink(past, aliases, linear_scorer, str(tmp_path / "predicted"))
-    for q in start_feed_dedup(feed_stream(spark, landed), str(tmp_path / "out"), str(tmp_path / "state"),
-                              on_batch=sink):
-        q.awaitTermination()
+    start_feed_dedup(feed_stream(spark, landed), str(tmp_path / "out"), str(tmp_path / "state"), on_batch=sink).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "predicted")).collect()
-    assert [(r.team1, r.team2, r.predictable, r.favourite) for r in got] == [("Beta", "Alpha", True, "Alpha")]
+    # the undated fixture counts like any other
+    assert sorted((r.team1, r.team2, r.date, r.predictable, r.favourite) for r in got) == [
+        ("Alpha", "Beta", "", True, "Alpha"), ("Beta", "Alpha", "2026-04-02", True, "Alpha")]

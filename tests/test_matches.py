@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tiebreak.operators import matches as mt
+from tiebreak.operators import explore, matches as mt
 from tiebreak.operators.names import rename_teams
 
 BALL = """match_id bigint, season string, innings int, ball int, batting_team string, bowling_team string,
@@ -113,3 +113,36 @@ def test_leagues_with_equal_match_ids_stay_apart(balls, rows):
     got = mt.deliveries_to_matches(two, ORDER, winner_col="match_won_by", keys=("league",))
     assert rows(got, "league", "match_id", "stage") == [
         ("x", 1, "league"), ("x", 10, "league"), ("x", 2, "final"), ("y", 1, "z"), ("y", 10, "z"), ("y", 2, "z")]
+
+
+def test_top_k_is_per_league(spark, rows):
+    data = [("L1", i, 2020, "A" if i < 5 else "B") for i in range(8)] + [("L2", i, 2020, "C") for i in range(2)]
+    m = spark.createDataFrame(data, "league string, match_id int, season int, winner string")
+    assert rows(explore.all_time_wins(m, 1, ("league",))) == [("L1", "A", 5), ("L2", "C", 2)]
+    assert [r.team for r in explore.all_time_wins(m, 2).collect()] == ["A", "B"]
+    f = spark.createDataFrame([("L1", "A", 0.5), ("L1", "B", 0.7), ("L2", "C", 0.1)], "league string, team string, win_rate double")
+    assert rows(explore.win_rate_leaderboard(f, 1, ("league",)), "league", "team") == [("L1", "B"), ("L2", "C")]
+    assert explore.win_rate_leaderboard(f, None, ("league",)).count() == 3
+
+
+def test_converter_reads_the_deliveries_once(spark, tmp_path):
+    """Over all its jobs, on each path: an accumulating scan would double the rows read."""
+    balls = spark.read.parquet(_stored_deliveries(spark, tmp_path))
+    n = balls.count()
+    for options in ({}, {"fallback": True}, {"winner_col": "match_won_by"}):
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+        counted = balls.mapInArrow(count, balls.schema)
+        assert mt.deliveries_to_matches(counted, ["innings", "ball_no"], **options).count() > 0
+        assert seen.value == n
+
+
+def _stored_deliveries(spark, tmp_path):
+    rows = [(i // 6, str(2020 + i % 2), 1 + i % 2, i % 6, f"T{i // 6 % 4}", f"T{(i // 6 + 1) % 4}", f"T{i // 6 % 4}") for i in range(240)]
+    schema = "match_id int, season string, innings int, ball_no int, batting_team string, bowling_team string, match_won_by string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "balls"))
+    return str(tmp_path / "balls")

@@ -125,3 +125,10 @@ def test_predictions_of_two_models(spark, training):
     got = predictions(training, one=forest, prediction=forest)
     assert got.where("one <> prediction").count() == 0
     assert "probability" not in got.columns
+
+
+def test_models_do_not_depend_on_the_layout_of_their_input(spark, training, rows):
+    """The same rows in two or eight partitions, in another order, give the same probabilities."""
+    for estimator in (ms.random_forest(5, 4), ms.boosted_trees({"n_estimators": 4, "subsample": 0.8})):
+        got = [rows(ev.model_scorer(fit(estimator, training.repartition(n, F.rand(n))))(training), "match_id", "p1") for n in (2, 8)]
+        assert got[0] == got[1]

@@ -2,7 +2,7 @@ import pytest
 
 from tests import league as lg
 from tiebreak.sources import tables
-from tiebreak.session import checkpoint_root, drop_stored, materialize, scratch_path
+from tiebreak.session import Stored, checkpoint_root, materialize, scratch_path
 
 
 def test_header_normalisation(spark):
@@ -53,9 +53,15 @@ def test_materialize_uses_the_named_folder_and_stays_prunable(spark):
     assert "ReadSchema: struct<id:bigint>" in plan and "PushedFilters: [IsNotNull(id)" in plan
 
 
-def test_stored_tables_can_be_dropped(spark):
-    stored = materialize(spark.range(3).toDF("id"))
-    folder = stored.inputFiles()[0].rsplit("/", 1)[0]
-    assert tables.path_exists(spark, folder)
-    drop_stored(spark)
-    assert not tables.path_exists(spark, folder)
+def test_stored_tables_go_with_their_job(spark):
+    with Stored(spark, "outer") as outer:
+        first = materialize(spark.range(3).toDF("id"))
+        with Stored(spark, "inner") as inner:
+            second = materialize(spark.range(3).toDF("id"))
+            assert inner.path.split(":")[-1].lstrip("/") in second.inputFiles()[0]
+        assert not tables.path_exists(spark, inner.path) and first.count() == 3
+    assert not tables.path_exists(spark, outer.path)
+    tables_of = Stored(spark, "by-hand")
+    a, b = tables_of.write(spark.range(2).toDF("id")), tables_of.write(spark.range(4).toDF("id"))
+    tables_of.drop(a)
+    assert b.count() == 4 and tables.path_exists(spark, tables_of.path)

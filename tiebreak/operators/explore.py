@@ -1,6 +1,7 @@
 """Descriptive aggregates over the matches table."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ratios import is_true
@@ -90,23 +91,31 @@ def toss_bat_field(matches: DataFrame, keys=()) -> DataFrame:
     )
 
 
+def _top(rows: DataFrame, order, top, keys) -> DataFrame:
+    """The first rows in an order, of each league with ``keys``; all of them with ``top=None``."""
+    if top is None:
+        return rows.orderBy(*keys, *order)
+    if not keys:
+        return rows.orderBy(*order).limit(top)
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_place", place).where(F.col("_place") <= top).drop("_place").orderBy(*keys, *order)
+
+
 def all_time_wins(matches: DataFrame, top=10, keys=()) -> DataFrame:
-    """Teams by number of wins; the k best, ties by name."""
-    return (
+    """Teams by number of wins; the k best (of each league with ``keys``), ties by name."""
+    wins = (
         matches.where(F.col("winner").isNotNull())
-        .groupBy(*keys, F.col("winner").alias("team")).agg(F.count("*").alias("wins"))
-        .orderBy(F.desc("wins"), "team").limit(top)
-    )
+        .groupBy(*keys, F.col("winner").alias("team")).agg(F.count("*").alias("wins")))
+    return _top(wins, [F.desc("wins"), F.col("team")], top, keys)
 
 
 def matches_per_season(matches: DataFrame, keys=()) -> DataFrame:
     return matches.groupBy(*keys, "season").agg(F.count("*").alias("matches"))
 
 
-def win_rate_leaderboard(features: DataFrame, top=12) -> DataFrame:
-    """Features by win rate; the k best, or all of them with ``top=None``."""
-    ranked = features.orderBy(F.desc("win_rate"), "team")
-    return ranked if top is None else ranked.limit(top)
+def win_rate_leaderboard(features: DataFrame, top=12, keys=()) -> DataFrame:
+    """Features by win rate; the k best (of each league with ``keys``), or all of them with ``top=None``."""
+    return _top(features, [F.desc("win_rate"), F.col("team")], top, keys)
 
 
 def with_percent_labels(df: DataFrame, rates) -> DataFrame:

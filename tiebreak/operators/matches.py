@@ -15,13 +15,14 @@ NOT_A_WINNER = {"batting_team", "bowling_team", "team1", "team2", "toss_winner"}
 def first_row_per_match(deliveries: DataFrame, order_by, keys=()) -> DataFrame:
     """The first row of each match in the order of ``order_by``.
 
-    ``min_by`` combines on the map side, so a match with very many rows reaches
-    the shuffle as one row per input partition.
+    Rows are reduced by hash aggregation first, so a match with very many rows reaches
+    the shuffle as a few rows per input partition.
     """
     group = [*keys, "match_id"]
     attributes = [c for c in deliveries.columns if c not in group]
     return (
-        deliveries.groupBy(*group)
+        _reduced(deliveries, order_by, [c for c in deliveries.columns if c != list(order_by)[-1]])
+        .groupBy(*group)
         .agg(F.min_by(F.struct(*attributes), F.struct(*order_by)).alias("_first"))
         .select(*group, "_first.*")
     )
@@ -60,25 +61,28 @@ def match_sides(info: DataFrame, sides: DataFrame, keys=()) -> DataFrame:
     return info.join(sides, [*keys, "match_id"], "left")
 
 
-def match_grain(deliveries: DataFrame, order_by, columns=None, keys=()) -> DataFrame:
+def match_grain(deliveries: DataFrame, order_by, columns=None, keys=(), names=None) -> DataFrame:
     """First row and innings-1 sides of each match in one pass.
 
-    ``columns`` names the match attributes to keep; all columns without it.
+    ``columns`` names the match attributes to keep; all columns without it. ``names``
+    adds a column of that name with the distinct side names of all innings of the match:
+    few, and the team universe then needs no second pass over the deliveries.
     """
     group = [*keys, "match_id"]
     if columns is None:
         columns = [c for c in deliveries.columns if c not in (*group, *SIDES, "innings")]
-    else:
-        deliveries = _reduced(deliveries, order_by, [*group, "innings", *SIDES, *columns])
+    kept = [c for c in columns if c != list(order_by)[-1]]
+    deliveries = _reduced(deliveries, order_by, [*group, "innings", *SIDES, *kept])
     position = F.struct(*order_by)
+    every = [F.array_distinct(F.flatten(F.collect_set(F.array(*SIDES)))).alias("_names")] if names else []
     return (
         deliveries.groupBy(*group)
         .agg(
             F.min_by(F.struct(*columns), position).alias("_first"),
-            F.min_by(F.struct(*SIDES), F.when(F.col("innings") == 1, position)).alias("_sides"),
+            F.min_by(F.struct(*SIDES), F.when(F.col("innings") == 1, position)).alias("_sides"), *every,
         )
         .select(*group, "_first.*", F.col("_sides.batting_team").alias("team1"),
-                F.col("_sides.bowling_team").alias("team2"))
+                F.col("_sides.bowling_team").alias("team2"), *([F.col("_names").alias(names)] if names else []))
     )
 
 
@@ -174,17 +178,18 @@ def matches_from_grain(grain: DataFrame, winner_col, keys=()) -> DataFrame:
 def deliveries_to_matches(deliveries: DataFrame, order_by, winner_col=None, fallback=False, keys=()) -> DataFrame:
     """Decided matches of a deliveries table.
 
-    With ``winner_col`` the plan is lazy and reads the deliveries once. Without
-    it the match-grain frame (one row per match) is stored first, and the column
-    is chosen from that table, so that the deliveries are not aggregated again.
+    The deliveries are read once. With ``winner_col`` the plan is lazy. Without it
+    the match-grain frame (one row per match) is stored first; the column is chosen from
+    that table, which also holds the names of both sides of every innings.
     """
     wanted = ["season", "year", *OPTIONAL_ATTRIBUTES]
     if winner_col is not None:
         columns = [c for c in [*wanted, winner_col] if c in deliveries.columns]
         return matches_from_grain(match_grain(deliveries, order_by, columns, keys), winner_col, keys)
     columns = None if fallback else [c for c in [*wanted, *WINNER_CANDIDATES] if c in deliveries.columns]
-    grain = materialize(match_grain(deliveries, order_by, columns, keys), "match-grain")
-    teams = team_universe(deliveries, SIDES)
+    stored = materialize(match_grain(deliveries, order_by, columns, keys, names="_names"), "match-grain")
+    teams = stored.select(F.explode("_names").alias("team")).where("team is not null").distinct()
+    grain = stored.drop("_names")
     return matches_from_grain(grain, resolve_winner_column(grain, teams, fallback=fallback), keys)
 
 

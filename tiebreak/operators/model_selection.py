@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import bucketed_row_number
 from ..schemas import FEATURE_COLS, LABEL_COL
+from ..session import materialize
 
 SEED = 42
 HASH_RANGE = 2 ** 31
@@ -127,20 +128,28 @@ def sample_params(space, n, seed=SEED):
     return combos
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Training rows over all cores: tree fitting makes many passes, and a small
-    table is stored in few files. Larger tables are left as they are."""
-    width = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= width else rows.repartition(width)
+#: Partitions of the training rows. Trees draw their rows by partition, so the number is part of the
+#: model, like the seed; it must not follow the cluster. Raise it with the data: about 128 MB of vectors each.
+LAYOUT = 16
+
+
+def in_layout(rows: DataFrame, ids, partitions=LAYOUT) -> DataFrame:
+    """Training rows, stored, in partitions that depend on ``ids`` and ``partitions`` alone.
+
+    Rows are cut by the hash of the ids and sorted by them, so the same rows give the same model
+    on any cluster, whatever files or tasks they come from.
+    """
+    stored = materialize(rows, "training")
+    return stored.repartition(partitions, *ids).sortWithinPartitions(*ids)
 
 
 def accuracy_evaluator(label=LABEL_COL):
     return MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy")
 
 
-def _fit_on_cached(search, rows):
+def _fit_on_cached(search, rows, ids):
     """Every fold and combination reads the same vectors."""
-    vectors = spread(rows).persist()
+    vectors = in_layout(rows, ids).persist()
     try:
         return search.fit(vectors)
     finally:
@@ -154,7 +163,8 @@ class SearchResult:
     table: DataFrame
 
 
-def random_search(train: DataFrame, space, n_iter=30, folds=5, seed=SEED, parallelism=2, label=LABEL_COL):
+def random_search(train: DataFrame, space, n_iter=30, folds=5, seed=SEED, parallelism=2, label=LABEL_COL,
+                  ids=("match_id",)):
     """Cross-validated accuracy of sampled combinations; the best is refitted on
     all of ``train``, which must hold the feature vector and a ``fold`` column."""
     combos = sample_params(space, n_iter, seed)
@@ -162,20 +172,21 @@ def random_search(train: DataFrame, space, n_iter=30, folds=5, seed=SEED, parall
     maps = [{getattr(gbt, GBT_PARAMS[k]): _gbt_value(k, v) for k, v in combo.items()} for combo in combos]
     search = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=accuracy_evaluator(label),
                             numFolds=folds, foldCol="fold", parallelism=parallelism)
-    fitted = _fit_on_cached(search, train)
+    fitted = _fit_on_cached(search, train, ids)
     scores = list(zip(combos, fitted.avgMetrics, fitted.stdMetrics))
     best = max(range(len(scores)), key=lambda i: scores[i][1])
     table = train.sparkSession.createDataFrame(
         [({k: str(v) for k, v in combo.items()}, float(mean), float(std)) for combo, mean, std in scores],
         "params map<string,string>, mean_accuracy double, std_accuracy double",
-    ).orderBy(F.desc("mean_accuracy"))
+    ).orderBy(F.desc("mean_accuracy"), F.to_json("params"))
     return SearchResult(fitted.bestModel, combos[best], table)
 
 
-def cross_val_accuracy(rows: DataFrame, params=None, folds=5, seed=SEED, parallelism=2, label=LABEL_COL):
+def cross_val_accuracy(rows: DataFrame, params=None, folds=5, seed=SEED, parallelism=2, label=LABEL_COL,
+                       ids=("match_id",)):
     """(mean, population standard deviation) of the accuracy over the folds."""
     search = CrossValidator(estimator=boosted_trees(params, seed, label), estimatorParamMaps=[{}],
                             evaluator=accuracy_evaluator(label), numFolds=folds, foldCol="fold",
                             parallelism=parallelism)
-    fitted = _fit_on_cached(search, rows)
+    fitted = _fit_on_cached(search, rows, ids)
     return float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])

@@ -70,7 +70,11 @@ def fixtures_without_features(fixtures: DataFrame, features: DataFrame, keys=())
 
 def matchup_detail(pairs: DataFrame, features: DataFrame, records: DataFrame, scorer, keys=()) -> DataFrame:
     """Favourite, probability label and number of past meetings of each pair."""
-    scored = scorer(matchup_features(pairs, features, records, keys))
+    return scored_detail(scorer(matchup_features(pairs, features, records, keys)), keys)
+
+
+def scored_detail(scored: DataFrame, keys=()) -> DataFrame:
+    """``matchup_detail`` of pairs that carry ``p1`` and ``h2h_meetings`` already."""
     favourite = F.col("p1") >= 0.5
     return scored.select(
         *keys,

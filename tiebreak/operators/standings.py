@@ -55,9 +55,10 @@ def both_legs(pairs: DataFrame) -> DataFrame:
 
 
 def score_round_robin(roster, features, records, scorer, keys=()) -> DataFrame:
-    """(leg, team1, team2, p1) for both orders of every pair that can be scored."""
+    """(leg, team1, team2, p1, h2h_meetings) for both orders of every pair that can be scored."""
     legs = both_legs(round_robin(roster, keys))
-    return scorer(matchup_features(legs, features, records, keys)).select(*keys, "leg", "team1", "team2", "p1")
+    return scorer(matchup_features(legs, features, records, keys)).select(
+        *keys, "leg", "team1", "team2", "p1", "h2h_meetings")
 
 
 def expected_points(roster: DataFrame, scored: DataFrame, legs=2, keys=()) -> DataFrame:
@@ -116,11 +117,3 @@ def playoff_cutoff(table: DataFrame, places=QUALIFIERS, keys=()) -> DataFrame:
         .agg(((at(places) + at(places + 1)) / 2).alias("cutoff"))
         .where(F.col("cutoff").isNotNull())
     )
-
-
-def forecast_table(roster, features, records, scorer, legs=2, keys=()) -> DataFrame:
-    """Standings straight from a roster."""
-    scored = score_round_robin(roster, features, records, scorer, keys)
-    return standings(expected_points(roster, scored, legs, keys), keys)
-
-

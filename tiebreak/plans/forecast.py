@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from ..operators.bracket import champion_prediction, playoff_bracket
 from ..operators.explore import champions
 from ..operators.facts import duel_facts, pair_season_facts, season_index, team_season_facts
-from ..operators.scoring import matchup_detail
+from ..operators.scoring import scored_detail
 from ..operators.standings import (
-    expected_points, round_robin, score_round_robin, standings, teams_present, with_qualification,
+    expected_points, score_round_robin, standings, teams_present, with_qualification,
     with_share_of_leader,
 )
 from ..operators.team_features import team_features_from_facts
@@ -31,7 +31,7 @@ def history(matches: DataFrame, keys=()) -> History:
     features = team_features_from_facts(facts, season_index(duels, keys), keys)
     records = pair_season_facts(duels, keys).groupBy(*keys, "side_a", "side_b").sum("meetings", "a_wins", "b_wins")
     records = records.withColumnsRenamed({f"sum({c})": c for c in ("meetings", "a_wins", "b_wins")})
-    return History(materialize(features, "features"), records)
+    return History(materialize(features, "features"), materialize(records, "records"))
 
 
 class Forecast:
@@ -42,11 +42,11 @@ class Forecast:
     """
 
     def __init__(self, past: History, roster: DataFrame, scorer, legs=2, keys=()):
-        self._past, self._scorer, self._keys = past, scorer, keys
-        self._valid = teams_present(roster, past.features, keys)
+        self._keys = keys
+        valid = teams_present(roster, past.features, keys)
         self.scored = materialize(
-            score_round_robin(self._valid, past.features, past.records, scorer, keys), "round-robin")
-        self.standings = standings(expected_points(self._valid, self.scored, legs, keys), keys)
+            score_round_robin(valid, past.features, past.records, scorer, keys), "round-robin")
+        self.standings = standings(expected_points(valid, self.scored, legs, keys), keys)
 
     @cached_property
     def table(self) -> DataFrame:
@@ -54,8 +54,7 @@ class Forecast:
 
     @cached_property
     def detail(self) -> DataFrame:
-        return matchup_detail(round_robin(self._valid, self._keys), self._past.features, self._past.records,
-                              self._scorer, self._keys)
+        return scored_detail(self.scored.where("leg = 1"), self._keys)
 
     @cached_property
     def bracket(self) -> DataFrame:

@@ -5,6 +5,7 @@ from ..operators.explore import champions, dataset_profile, title_counts, toss_i
 from ..operators.names import resolve_roster
 from ..operators.training import START_SEASON, training_rows
 from ..presets import ROSTER, SEARCH_SPACE
+from ..session import Stored
 from ..sources.models import load_or_train
 from ..sources.tables import CANDIDATE_FILES, load_matches, write_table
 from .forecast import forecast, history
@@ -17,9 +18,15 @@ def roster_frame(spark, teams=ROSTER):
 
 def run_season(spark, out, paths=CANDIDATE_FILES, order_by=None, schema=None, roster=None, start=START_SEASON,
                space=SEARCH_SPACE, n_iter=30, folds=5, legs=2, loose_names=False):
-    """Writes matches, training rows and the model below ``out``; returns the frames
-    a reader wants. A model already stored there is used as it is. ``loose_names``
-    also accepts roster entries that share a long word with a known team."""
+    """Writes matches, training rows, the model and the frames a reader wants below ``out``, and
+    returns these. A model already stored there is used as it is. ``loose_names``
+    also accepts roster entries that share a long word with a known team. Tables stored on
+    the way go at the end."""
+    with Stored(spark, "season"):
+        return _run(spark, out, paths, order_by, schema, roster, start, space, n_iter, folds, legs, loose_names)
+
+
+def _run(spark, out, paths, order_by, schema, roster, start, space, n_iter, folds, legs, loose_names):
     write_table(load_matches(spark, paths, order_by, schema), f"{out}/matches")
     matches = spark.read.parquet(f"{out}/matches")
     write_table(training_rows(matches, start, keep=("match_id",)), f"{out}/training")
@@ -33,7 +40,7 @@ def run_season(spark, out, paths=CANDIDATE_FILES, order_by=None, schema=None, ro
     if loose_names:
         teams = resolve_roster(teams, past.features)
     result = forecast(past, teams, model_scorer(bundle.model), legs)
-    return {
+    frames = {
         "profile": dataset_profile(matches),
         "champions": champs,
         "titles": title_counts(champs),
@@ -42,5 +49,8 @@ def run_season(spark, out, paths=CANDIDATE_FILES, order_by=None, schema=None, ro
         "detail": result.detail,
         "bracket": result.bracket,
         "champion": result.champion,
-        "bundle": bundle,
     }
+    for name, frame in frames.items():
+        frame.write.mode("overwrite").parquet(f"{out}/{name}")
+        frames[name] = spark.read.schema(frame.schema).parquet(f"{out}/{name}")
+    return {**frames, "bundle": bundle}

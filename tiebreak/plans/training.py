@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.evaluation import classification_report, confusion_matrix, feature_importances, model_comparison
 from ..operators.model_selection import (
-    assembler, cross_val_accuracy, random_forest, random_search, spread, stratified_folds,
+    assembler, cross_val_accuracy, in_layout, random_forest, random_search, stratified_folds,
     stratified_split, with_shuffle_key,
 )
 from ..presets import SEARCH_SPACE
@@ -32,10 +32,10 @@ def prepare(rows: DataFrame, ids=("match_id",), test_size=0.2) -> DataFrame:
     return materialize(stratified_split(with_shuffle_key(rows, ids), ids, test_size=test_size), "split")
 
 
-def fit(estimator, train: DataFrame) -> PipelineModel:
-    """A pipeline of vector assembler and estimator, fitted."""
+def fit(estimator, train: DataFrame, ids=("match_id",)) -> PipelineModel:
+    """A pipeline of vector assembler and estimator, fitted on the stored rows in their own layout."""
     checkpoint_root(train.sparkSession)  # boosting cuts its lineage there
-    return Pipeline(stages=[assembler(), estimator]).fit(spread(train))
+    return Pipeline(stages=[assembler(), estimator]).fit(in_layout(train, ids))
 
 
 def predictions(rows: DataFrame, **models) -> DataFrame:
@@ -53,15 +53,15 @@ def train_and_evaluate(rows: DataFrame, ids=("match_id",), space=SEARCH_SPACE, n
     split = prepare(rows, ids)
     train, test = split.where("is_train"), split.where("NOT is_train")
     vectors = materialize(assembler().transform(stratified_folds(train, ids, folds=folds)), "vectors")
-    found = random_search(vectors, space, n_iter, folds, parallelism=parallelism)
+    found = random_search(vectors, space, n_iter, folds, parallelism=parallelism, ids=ids)
     model = PipelineModel([assembler(), found.model])
-    scored = materialize(predictions(test, baseline=fit(random_forest(trees), train), model=model), "scored")
+    scored = materialize(predictions(test, baseline=fit(random_forest(trees), train, ids), model=model), "scored")
     comparison = model_comparison(scored, "baseline", "model")
-    cv_mean = None
+    cv_mean = cv_std = None
     if cross_validate:
         every = materialize(assembler().transform(stratified_folds(split, ids, folds=folds)), "vectors")
-        cv_mean, _ = cross_val_accuracy(every, found.best_params, folds, parallelism=parallelism)
-    bundle = ModelBundle(model, accuracy=comparison.first().model_accuracy, cv_mean=cv_mean,
+        cv_mean, cv_std = cross_val_accuracy(every, found.best_params, folds, parallelism=parallelism, ids=ids)
+    bundle = ModelBundle(model, accuracy=comparison.first().model_accuracy, cv_mean=cv_mean, cv_std=cv_std,
                          best_params=found.best_params)
     return TrainingReport(
         bundle, comparison, classification_report(scored, prediction="model"),

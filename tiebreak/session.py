@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,8 +44,8 @@ def scratch_path(spark, label):
     return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-# tables written by materialize in this process
-_stored = []
+# the job whose tables materialize writes; a thread, such as a stream's callback, has its own
+_owner = ContextVar("owner", default=None)
 
 
 def materialize(df: DataFrame, label="table") -> DataFrame:
@@ -52,20 +53,23 @@ def materialize(df: DataFrame, label="table") -> DataFrame:
 
     Used where several branches of one plan need the same costly frame. Unlike
     a cached frame the table survives lost executors, and unlike a checkpointed
-    one it keeps column pruning, filter pushdown and file statistics.
+    one it keeps column pruning, filter pushdown and file statistics. Inside a
+    ``with Stored(spark)`` block the table goes at the end of the block.
     """
+    if _owner.get() is not None:
+        return _owner.get().write(df, label)
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Stored:
     """The intermediate tables of one job, below one folder that goes when they do.
 
-    ``with Stored(spark, "job") as tables`` drops them at the end of the block. Without
-    the block the frames read from them stay usable until ``drop`` is called, on all
-    tables or on those named.
+    ``with Stored(spark, "job") as tables`` drops them at the end of the block, and with them what
+    ``materialize`` writes meanwhile: the results must be written by then. Without the block
+    the frames read from them stay usable until ``drop`` is called, on all tables or on
+    those named.
     """
 
     def __init__(self, spark, label="tables"):
@@ -86,15 +90,9 @@ class Stored:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def __enter__(self):
+        self._token = _owner.set(self)
         return self
 
     def __exit__(self, *_):
+        _owner.reset(self._token)
         self.drop()
-
-
-def drop_stored(spark):
-    """Deletes the tables ``materialize`` has written; call it when the frames that
-    read them are no longer needed."""
-    while _stored:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
