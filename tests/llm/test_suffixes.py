@@ -78,9 +78,14 @@ def test_repeated_rows_are_no_repeat(frame):
     assert suffixes.repeated_passages(docs.where("doc_id = 5")).collect() == []
 
 
-def test_every_window_holds_a_minimiser():
+def test_every_window_is_in_one_run_with_its_anchor():
     h = np.random.default_rng(0).integers(0, 3, 400).astype(np.uint64)
-    at = suffixes.minimisers(h, np.array([0, 150, 150, 400]), 20, 6, 3)
-    for a, b in ((0, 150), (150, 400)):
-        for s in range(a, b - 20 + 1):
-            assert ((at >= s) & (at + 6 <= s + 20)).any()
+    at, first, last = suffixes.anchors(h, np.array([0, 150, 150, 160, 400]), 20, 6, 3)
+    seen = [s for a, b in zip(first, last) for s in range(a, b + 1)]
+    assert sorted(seen) == [*range(0, 131), *range(160, 381)]
+    assert all(a <= p and p + 6 <= b + 20 and p >= b and p + 6 <= a + 20 for p, a, b in zip(at, first, last))
+    # the anchor depends on the words of the window alone
+    anchor = {s: p - s for p, a, b in zip(at, first, last) for s in range(a, b + 1)}
+    by_words = {}
+    for s, p in anchor.items():
+        assert by_words.setdefault(tuple(h[s: s + 20].tolist()), p) == p

@@ -1,25 +1,25 @@
 """Exact repeated passages by a sparse suffix array.
 
-Suffixes are kept at content-selected minimiser positions only. A passage of
-``min_words`` words that occurs twice holds, in both places, a minimiser with at least
-``key_words`` words behind it, so both suffixes sort under the same ``key_words`` words.
-Neighbours of that order are extended right and left by comparing hashes of the
-``min_words`` words that begin at the suffix and of those that end with its key. Where a
-neighbourhood agrees on both sides nothing is left to find; elsewhere, at the ends of
-passages, the extents in between are compared one by one.
+Suffixes are kept at content-selected minimiser positions only. Every ``min_words`` words in a row
+(a window) have one anchor, the minimiser among their first words, which depends on those words alone. So a
+passage that occurs twice has the same anchors in both places, and the suffixes there sort under the same
+``key_words`` words. Neighbours of that order are compared by how far they agree to the left and right: a
+suffix stands for the run of windows it anchors. Suffixes whose whole runs agree are one class; where a key has
+several classes, one member of each is compared window by window.
 """
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tiebreak.session import Stored
 
 from .simhash import text_key
-from .textarrays import arrow_schema, chunks, rolling, runs, word_hashes, words
+from .textarrays import MIX1, arrow_schema, chunks, mix, rolling, runs, word_hashes, words
 
 MIN_WORDS, KEY_WORDS, GRAM_WORDS = 50, 16, 8
 
@@ -36,21 +36,28 @@ def _argmin(rank, width):
     return at
 
 
-def minimisers(hashes, bounds, min_words=MIN_WORDS, key_words=KEY_WORDS, gram=GRAM_WORDS):
-    """Selected word positions: every ``min_words`` words of a text hold one with ``key_words`` words of them left."""
+def anchors(hashes, bounds, min_words=MIN_WORDS, key_words=KEY_WORDS, gram=GRAM_WORDS):
+    """(anchor, first window, last window) for each run of windows with one anchor, as word positions.
+
+    Each window of ``min_words`` words in one text is in exactly one run; its anchor has at
+    least ``key_words`` words of the window left.
+    """
     width = min_words - key_words + 1
     if len(hashes) < min_words:
-        return np.zeros(0, np.int64)
-    size = np.diff(bounds)
-    end = np.repeat(bounds[1:], size)
+        return (np.zeros(0, np.int64),) * 3
+    end = np.repeat(bounds[1:], np.diff(bounds))
     place = np.arange(len(hashes))
     rank = np.full(len(hashes), np.iinfo(np.uint64).max, np.uint64)
     grams = rolling(hashes, gram)
     rank[: len(grams)] = grams
     rank[place + key_words > end] = np.iinfo(np.uint64).max
     at = _argmin(rank, width)
-    whole = place[: len(at)] + min_words <= end[: len(at)]
-    return np.unique(at[whole])
+    whole = np.flatnonzero(place[: len(at)] + min_words <= end[: len(at)])
+    if not len(whole):
+        return (np.zeros(0, np.int64),) * 3
+    at = at[whole]
+    new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (whole[1:] != whole[:-1] + 1)])
+    return at[new], whole[new], whole[np.r_[new[1:] - 1, len(whole) - 1]]
 
 
 def _signed(x):
@@ -58,63 +65,57 @@ def _signed(x):
 
 
 def _suffixes(min_words, key_words, gram):
+    """A row per anchor: its place, the hash of its key, its run, and the hash of all words of the run."""
     def run(batches):
         for batch in batches:
             for part, data, offsets in chunks(batch):
                 starts, ends, text = words(data, offsets)
                 bounds = runs(text, len(offsets) - 1)
                 h = word_hashes(data, starts, ends)
-                at = minimisers(h, bounds, min_words, key_words, gram)
+                at, first, last = anchors(h, bounds, min_words, key_words, gram)
                 if not len(at):
                     continue
-                of = text[at]
                 wide = rolling(h, min_words)
-                back = at + key_words - min_words
-                has_right, has_left = at + min_words <= bounds[of + 1], back >= bounds[of]
-                right = wide[np.where(has_right, at, 0)].view(np.int64)
-                left = wide[np.where(has_left, back, 0)].view(np.int64)
-                rows = pa.array(of)
+                # the first and the last window overlap, so they and their distance fix all words between
+                run_words = mix(mix(wide[first]) * MIX1 + wide[last]) + ((last - first) * 4096 + at - first).astype(np.uint64)
+                rows = pa.array(text[at])
                 yield pa.RecordBatch.from_arrays([
                     pc.take(part.column("doc_id"), rows), pc.take(part.column("text_key"), rows),
-                    pa.array((at - bounds[of]).astype(np.int32)), _signed(rolling(h, key_words)[at]),
-                    pa.array(right, mask=~has_right), pa.array(left, mask=~has_left),
-                ], ["doc_id", "text_key", "at", "key", "right", "left"])
+                    pa.array((first - bounds[text[at]]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)),
+                    _signed(rolling(h, key_words)[at]), _signed(mix(run_words)),
+                ], ["doc_id", "text_key", "start", "n_windows", "key", "class"])
     return run
 
 
-def _between(min_words, key_words):
-    """Windows that hold the key of one of ``places`` and begin between its two outer windows."""
+def _windows(min_words):
+    """The windows of the given runs, one row each: (class, step, h)."""
     def run(batches):
         for batch in batches:
             for part, data, offsets in chunks(batch):
                 starts, ends, text = words(data, offsets)
                 bounds = runs(text, len(offsets) - 1)
                 wide = rolling(word_hashes(data, starts, ends), min_words)
-                places = part.column("places")
-                n_places = pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64)
-                of = np.repeat(np.arange(len(n_places)), n_places)
-                at = pc.list_flatten(places).to_numpy(zero_copy_only=False) + bounds[of]
-                reach = min_words - key_words
-                begin = (at[:, None] - np.arange(1, reach)[None, :]).ravel()
-                of = np.repeat(of, reach - 1)
-                ok = (begin >= bounds[of]) & (begin + min_words <= bounds[of + 1])
-                begin = np.unique(begin[ok])
-                of = text[begin] if len(begin) else np.zeros(0, np.int64)
-                rows = pa.array(of, pa.int64())
+                lists = part.column("runs")
+                of = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+                flat = pc.list_flatten(lists)
+                n = flat.field("n_windows").to_numpy().astype(np.int64)
+                first = flat.field("start").to_numpy() + bounds[of]
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 yield pa.RecordBatch.from_arrays([
-                    pc.take(part.column("doc_id"), rows), pc.take(part.column("text_key"), rows),
-                    pa.array((begin - bounds[of]).astype(np.int32)), _signed(wide[begin] if len(begin) else np.zeros(0, np.uint64)),
-                ], ["doc_id", "text_key", "start", "h"])
+                    pa.array(np.repeat(flat.field("class").to_numpy(), n)), pa.array(step.astype(np.int32)),
+                    _signed(wide[np.repeat(first, n) + step])], ["class", "step", "h"])
     return run
 
 
-def _merge(starts, width):
-    """Union of [s, s + width) as (first, end) pairs."""
-    if not len(starts):
-        return []
-    starts = np.unique(starts)
-    cut = np.flatnonzero(np.diff(starts) > width) + 1
-    return list(zip(starts[np.r_[0, cut]].tolist(), (starts[np.r_[cut - 1, len(starts) - 1]] + width).tolist()))
+def _merge(spans):
+    """Union of (first, end) pairs; those that touch are one."""
+    out = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def _minus(spans, holes):
@@ -138,17 +139,21 @@ def _spans(min_words, out_schema):
         for batch in batches:
             rows = []
             for doc_id, key, found in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("found")):
-                start = np.array(found.values.field("start"), np.int64)
-                first = np.array(found.values.field("is_first"), bool)
-                source = found.values.field("first_id").to_pylist()
-                kept = _merge(start[first], min_words)
-                for a, b in kept:
-                    rows.append((doc_id, key, a, b - a, False, [doc_id]))
-                order = np.argsort(start, kind="stable")
-                sorted_start = start[order]
-                for a, b in _minus(_merge(start[~first], min_words), kept):
-                    near = order[np.searchsorted(sorted_start, a - min_words, "right"): np.searchsorted(sorted_start, b, "left")]
-                    ids = {source[i] for i in near if not first[i]}
+                found = [(r["start"], r["start"] + r["n_windows"] - 1 + min_words, r["is_first"], r["first_id"]) for r in found.as_py()]
+                kept = _merge([(a, b) for a, b, first, _ in found if first])
+                rows += [(doc_id, key, a, b - a, False, [doc_id]) for a, b in kept]
+                dropped = _minus(_merge([(a, b) for a, b, first, _ in found if not first]), kept)
+                later = sorted((a, b, i) for a, b, first, i in found if not first)
+                at = 0
+                for a, b in dropped:
+                    # runs are shorter than two windows, so few of them reach over the start of a span
+                    while at < len(later) and later[at][0] <= a - 2 * min_words:
+                        at += 1
+                    ids, i = set(), at
+                    while i < len(later) and later[i][0] < b:
+                        if later[i][1] > a:
+                            ids.add(later[i][2])
+                        i += 1
                     rows.append((doc_id, key, a, b - a, True, sorted(ids, key=lambda x: (x is None, x))))
             yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in rows], schema=arrow)
     return run
@@ -173,39 +178,52 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, key_words: in
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
     place = [T.StructField("doc_id", id_type), T.StructField("text_key", T.LongType())]
+    integer, long = T.IntegerType(), T.LongType()
     suffix_schema = T.StructType([
-        *place, T.StructField("at", T.IntegerType()), T.StructField("key", T.LongType()),
-        T.StructField("right", T.LongType()), T.StructField("left", T.LongType())])
+        *place, T.StructField("start", integer), T.StructField("n_windows", integer), T.StructField("key", long), T.StructField("class", long)])
     suffixes = tables.write(rows.mapInArrow(_suffixes(min_words, key_words, gram), suffix_schema), "suffixes")
     twice = suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    same = tables.write(suffixes.join(twice, "key", "left_semi"), "same")
+    # rows that repeat an id and its text count once
+    same = tables.write(suffixes.join(twice, "key", "left_semi").distinct(), "same")
     tables.drop(suffixes)
 
-    outer = same.select("doc_id", "text_key", "key", F.explode(F.array(
-        F.struct(F.col("at").alias("start"), F.col("right").alias("h")),
-        F.struct((F.col("at") - (min_words - key_words)).alias("start"), F.col("left").alias("h")))).alias("w"))
-    outer = outer.select("doc_id", "text_key", "key", "w.start", "w.h")
-    windows = outer.where("h is not null").select("doc_id", "text_key", "start", "h").distinct()
-    agreed = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    open_keys = tables.write(outer.join(agreed, "h", "left_anti").select("key").distinct(), "open")
-    ends = same.join(open_keys, "key", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("places"))
+    classes = tables.write(same.groupBy("key", "class", "n_windows").agg(
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start")).alias("m")), "classes")
+    several = classes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    # a key with one class: all of its windows are where its members are, and nowhere else
+    one = classes.join(several, "key", "left_anti").where("n > 1").select(
+        "class", F.lit(0).alias("step"), "n_windows", "m", F.col("m.doc_id").alias("first_id"), F.lit(True).alias("leads"))
+    # several: the first member of each class speaks for it
+    mixed = tables.write(classes.join(several, "key", "left_semi"), "mixed")
+    speakers = mixed.select("m.doc_id", "m.text_key", F.struct("m.start", "n_windows", "class").alias("r")).groupBy(
+        "doc_id", "text_key").agg(F.collect_list("r").alias("runs"))
     text = rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "text")
-    with_text = ends.join(text, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-    window_schema = T.StructType([*place, T.StructField("start", T.IntegerType()), T.StructField("h", T.LongType())])
-    between = with_text.select("doc_id", "text_key", "text", "places").mapInArrow(_between(min_words, key_words), window_schema)
-    every = tables.write(windows.union(between).distinct(), "windows")
-    tables.drop(same, open_keys)
-
-    firsts = every.groupBy("h").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start")).alias("f")).where("n > 1").drop("n")
-    found = every.join(firsts, "h").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(
-        "start", F.struct("doc_id", "text_key", "start").eqNullSafe(F.col("f")).alias("is_first"),
-        F.col("f.doc_id").alias("first_id"))).alias("found"))
+    with_text = speakers.join(text, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    windows = with_text.select("runs", "text").mapInArrow(
+        _windows(min_words), "class long, step int, h long").distinct().join(mixed.select("class", "n", "m"), "class")
+    windows = tables.write(windows, "windows")
+    firsts = windows.groupBy("h").agg(
+        F.sum("n").alias("places"), F.min(F.struct("m.doc_id", "m.text_key", (F.col("m.start") + F.col("step")).alias("start"))).alias("f"),
+    ).where("places > 1").drop("places")
+    leads = F.struct("m.doc_id", "m.text_key", (F.col("m.start") + F.col("step")).alias("start")).eqNullSafe(F.col("f"))
+    some = windows.join(firsts, "h").select(
+        "class", "step", F.lit(1).alias("n_windows"), "m", F.col("f.doc_id").alias("first_id"), leads.alias("leads"))
+    # steps in a row with the same first place are one run again
+    run_no = F.col("step") - F.row_number().over(W.partitionBy("class", "first_id", "leads").orderBy("step"))
+    some = some.withColumn("g", run_no).groupBy("class", "first_id", "leads", "g").agg(
+        F.min("step").alias("step"), F.count("*").cast("int").alias("n_windows"), F.first("m").alias("m")).drop("g")
+    repeated = one.unionByName(some.select(*one.columns))
+    members = same.select("doc_id", "text_key", "start", "class").join(repeated, "class")
+    found = members.select(
+        "doc_id", "text_key", F.struct(
+            (F.col("start") + F.col("step")).alias("start"), "n_windows",
+            (F.col("leads") & F.struct("doc_id", "text_key", "start").eqNullSafe(F.col("m"))).alias("is_first"), "first_id").alias("r"),
+    ).groupBy("doc_id", "text_key").agg(F.collect_list("r").alias("found"))
     out = T.StructType([
         *place, T.StructField("first_word", T.IntegerType()), T.StructField("n_words", T.IntegerType()),
         T.StructField("dropped", T.BooleanType()), T.StructField("source_ids", T.ArrayType(id_type))])
     passages = tables.write(found.mapInArrow(_spans(min_words, out), out), "passages")
-    tables.drop(every)
+    tables.drop(same, classes, mixed, windows)
     return passages
 
 
