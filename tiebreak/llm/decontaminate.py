@@ -10,13 +10,16 @@ from pyspark.sql import types as T
 from tiebreak.session import Stored
 
 from .simhash import text_key
-from .textarrays import FNV_PRIME, LOWER, NO_ALNUM, arrow_schema, chunks, mix, runs, word_hashes, words
+from .textarrays import LOWER, NO_ALNUM, arrow_schema, chunks, mix, runs, word_hashes, words
 
 # Which of the words of a window count, per seed: 7 of up to 11. One substituted word in any
 # 13 leaves a window of some seed untouched; so do most pairs of them.
 SEEDS = ("1111111", "11101001011", "1101100111", "1110010111")
-#: Bits of the filter of benchmark hashes that tasks hold: half a megabyte, whatever the benchmark's size.
-FILTER_BITS = 1 << 22
+#: Log of the bits of the filter of benchmark hashes that tasks hold: two megabytes, whatever the benchmark's
+#: size. Each hash sets two bits; a larger benchmark lets more windows through, never fewer.
+FILTER_LOG = 24
+# odd factors, one for each counted word of a window
+FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 #: Words kept on both sides of a run of hits, for the extension.
 AROUND = 64
 
@@ -29,20 +32,32 @@ def tokens(data, offsets):
 
 
 def seed_hashes(hashes, text, seeds=SEEDS):
-    """For each seed: the first words of its windows inside one text, and their hashes."""
+    """For each seed: the first words of its windows inside one text, and their hashes.
+
+    A window's hash adds up its counted words, each times the factor of its rank.
+    """
+    weight = max(seed.count("1") for seed in seeds)
+    products = [hashes * FACTORS[k] for k in range(weight)]
     for i, seed in enumerate(seeds):
         n = len(hashes) - len(seed) + 1
         if n <= 0:
             continue
-        h = np.full(n, np.uint64(i + 1))
-        for j in (j for j, used in enumerate(seed) if used == "1"):
-            h = mix(h + FNV_PRIME) + hashes[j: j + n]
-        at = np.flatnonzero(text[:n] == text[len(seed) - 1:])
-        yield at, mix(h[at])
+        h = np.full(n, FACTORS[-1 - i])
+        for k, j in enumerate(j for j, used in enumerate(seed) if used == "1"):
+            h += products[k][j: j + n]
+        whole = text[:n] == text[len(seed) - 1:]
+        yield (np.arange(n), h) if whole.all() else (np.flatnonzero(whole), h[whole])
+
+
+def _bits(h):
+    """The two bits of each hash."""
+    return (h >> np.uint64(64 - FILTER_LOG)).astype(np.int64), ((h >> np.uint64(8)) & np.uint64((1 << FILTER_LOG) - 1)).astype(np.int64)
 
 
-def _bit(h):
-    return h & np.uint64(FILTER_BITS - 1)
+def _passes(table, h):
+    """Where both bits are set; few windows get to the second."""
+    hit = np.flatnonzero(table[(h >> np.uint64(64 - FILTER_LOG)).view(np.int64)])
+    return hit[table[_bits(h[hit])[1]]]
 
 
 def _item_rows(seeds):
@@ -57,7 +72,7 @@ def _item_rows(seeds):
                     yield pa.RecordBatch.from_arrays([
                         pc.take(part.column("item_id"), rows), pc.take(part.column("item_key"), rows),
                         pa.array((at - bounds[text[at]]).astype(np.int32)), pa.array(x.view(np.int64)),
-                        pa.array(_bit(x).astype(np.int32))], ["item_id", "item_key", "at", "h", "bit"])
+                        *(pa.array(b.astype(np.int32)) for b in _bits(x))], ["item_id", "item_key", "at", "h", "bit", "bit2"])
     return run
 
 
@@ -85,7 +100,7 @@ def _regions(seeds, bits, out):
                 bounds = runs(text, part.num_rows)
                 found = []
                 for at, x in seed_hashes(h, text, seeds):
-                    hit = table[_bit(x)]
+                    hit = _passes(table, x)
                     found.append((at[hit], x[hit]))
                 at = np.concatenate([a for a, _ in found] or [np.zeros(0, np.int64)])
                 if not len(at):
@@ -173,13 +188,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 12, identit
         F.col(item_col).alias("item_id"), text_key(item_text_col).alias("item_key"), F.col(item_text_col).alias("text"),
     ).dropDuplicates(["item_id", "item_key"])
     item_rows = tables.write(items.mapInArrow(_item_rows(seeds), T.StructType([
-        *key, T.StructField("at", integer), T.StructField("h", long), T.StructField("bit", integer)])), "items")
+        *key, T.StructField("at", integer), T.StructField("h", long), T.StructField("bit", integer), T.StructField("bit2", integer)])), "items")
     item_words = tables.write(items.mapInArrow(_words, T.StructType([
         *key, T.StructField("item_words", T.ArrayType(long))])), "words")
-    filled = np.zeros(FILTER_BITS // 8, np.uint8)
+    filled = np.zeros(1 << FILTER_LOG - 3, np.uint8)
     # at most a row per byte of the filter
-    for byte, value in item_rows.groupBy(F.expr("bit >> 3")).agg(F.expr("bit_or(1 << (bit & 7))")).collect():
-        filled[byte] = value
+    bit = item_rows.select(F.explode(F.array("bit", "bit2")).alias("bit"))
+    found = bit.groupBy(F.expr("bit >> 3").alias("byte")).agg(F.expr("bit_or(1 << (bit & 7))").alias("value")).toArrow()
+    filled[found.column("byte").to_numpy()] = found.column("value").to_numpy()
     bits = spark.sparkContext.broadcast(filled.tobytes())
 
     place = [T.StructField("doc_id", id_type), T.StructField("text_key", long)]
