@@ -7,18 +7,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textarrays import FNV_OFFSET, FNV_PRIME, arrow_schema, chunks, mix, runs, word_hashes, words
+from .textarrays import FNV_OFFSET, FNV_PRIME, arrow_schema, chunks, runs, word_hashes, words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNDETERMINED = "und"
 #: Longest piece in bytes, longest stretch of a word that is segmented as one, bytes of text taken at once.
-MAX_PIECE, MAX_WORD, CHUNK = 10, 32, 4 << 20
+MAX_PIECE, MAX_WORD, CHUNK = 8, 32, 12 << 20
 #: Pseudo-count of a piece, passes over the training texts, and how much probability a character outside the vocabulary has.
-SMOOTHING, ROUNDS, UNKNOWN = 0.1, 2, 1e-6
+SMOOTHING, ROUNDS, UNKNOWN = 0.1, 1, 1e-6
 #: Most languages that are learned; the models are that many numbers per piece.
 MAX_LANGUAGES = 512
 # ASCII that is no letter ends a word; other scripts' punctuation stays and is an unknown character
 NO_LETTER = np.array([i < 128 and not chr(i).isalpha() for i in range(256)])
+# odd factor that spreads a hash over its high bits
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 MARK = 0x20  # stands for the start of a word, as in the vocabulary
 
 
@@ -52,7 +54,7 @@ class Lookup:
 
     @classmethod
     def slots(cls, h):
-        return (h >> np.uint64(64 - cls.BITS)).astype(np.int64), (h & np.uint64((1 << cls.BITS) - 1)).astype(np.int64)
+        return (h >> np.uint64(64 - cls.BITS)).view(np.int64), ((h >> np.uint64(8)) & np.uint64((1 << cls.BITS) - 1)).view(np.int64)
 
     @staticmethod
     def of(piece):
@@ -60,14 +62,17 @@ class Lookup:
         with np.errstate(over="ignore"):
             for byte in piece:
                 h = (h ^ np.uint64(byte)) * FNV_PRIME
-            return mix(h)
+            return h * SPREAD
 
     def find(self, h):
-        a, b = self.slots(h)
-        out = self.first[a]
-        miss = (out < 0) | (self.hash[out] != h)
-        out = np.where(miss, self.second[b], out)
-        return np.where((out >= 0) & (self.hash[out] == h), out, -1)
+        """Most slots are empty; only where another piece holds the first is the second looked at."""
+        out = self.first[(h >> np.uint64(64 - self.BITS)).view(np.int64)]
+        held = np.flatnonzero(out >= 0)
+        other = held[self.hash[out[held]] != h[held]]
+        out[other] = self.second[self.slots(h[other])[1]]
+        wrong = other[(out[other] < 0) | (self.hash[out[other]] != h[other])]
+        out[wrong] = -1
+        return out
 
 
 class Lattice:
@@ -85,7 +90,7 @@ class Lattice:
         h = np.full(words.shape, FNV_OFFSET, np.uint64)
         for size in range(1, min(MAX_PIECE, n) + 1):
             h = (h[:, : n - size + 1] ^ words[:, size - 1:]) * FNV_PRIME
-            found = lookup.find(mix(h).ravel()).reshape(h.shape)
+            found = lookup.find((h * SPREAD).ravel()).reshape(h.shape)
             unknown = (found < 0) & (width[:, : n - size + 1] == size) & starts_char[:, : n - size + 1]
             found = np.where(unknown, n_pieces, found)
             for at in range(n - size + 1):
@@ -106,7 +111,10 @@ class Lattice:
         return alpha
 
     def expected(self, p, weight, out):
-        """Adds the expected uses of each piece over all segmentations, ``weight`` of each word and language."""
+        """Adds the expected uses of each piece over all segmentations, ``weight`` of each word and language.
+
+        ``p`` may have one column for all languages.
+        """
         alpha = self.forward(p)
         beta = np.zeros_like(alpha)
         beta[self.n] = 1
@@ -118,7 +126,7 @@ class Lattice:
         share = weight / np.maximum(alpha[self.n], 1e-300)
         for (at, size), (rows, ids) in self.edges.items():
             use = alpha[at, rows] * p[ids] * beta[at + size, rows] * share[rows]
-            for k in range(p.shape[1]):
+            for k in range(out.shape[1]):
                 out[:, k] += np.bincount(ids, use[:, k], minlength=len(out))
 
 
@@ -151,7 +159,7 @@ def _stretches(data, offsets):
     return text[word], number, len(at), groups
 
 
-BLOCK = 4096
+BLOCK = 16384
 
 
 def _blocks(groups):
@@ -169,6 +177,8 @@ def _expected(pieces, p, n_langs):
     """Rows (lang, piece, n): expected uses in thousandths, over all segmentations of what a task reads."""
     def run(batches):
         lookup, model = Lookup(pieces.value), p.value
+        if (model == model[:, :1]).all():
+            model = model[:, :1]
         total = np.zeros((len(pieces.value) + 1, n_langs))
         for batch in batches:
             for part, data, offsets in chunks(_lowered(batch), limit=CHUNK):
