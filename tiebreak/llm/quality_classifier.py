@@ -12,12 +12,15 @@ from .textarrays import LOWER, NO_ALNUM, SPACE, arrow_schema, chunks, mix, runs,
 #: Words share this many hashed slots; a vector of that many numbers per slot is all that tasks hold.
 SLOTS, DIMENSIONS = 1 << 13, 32
 #: Non-zero entries of an index vector, and words on each side whose index vectors a word adds up.
-ENTRIES, WINDOW = 4, 2
+ENTRIES, WINDOW = 2, 2
 #: The network is fitted on at most this many labelled texts, those of the smallest hashed ids.
 SAMPLE = 20000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 200, 0.01, 1e-4
+BLOCK = 1 << 16
 UPPER = np.zeros(256, bool)
 UPPER[65:91] = True
+# white space, letters and digits, other signs
+KIND = np.where(SPACE, 0, np.where(NO_ALNUM, 2, 1)).astype(np.int8)
 
 
 def tokens(data, offsets):
@@ -25,7 +28,7 @@ def tokens(data, offsets):
 
     Lower case decides the word; a word in capitals only has a slot of its own kind.
     """
-    kind = np.where(SPACE[data], 0, np.where(NO_ALNUM[data], 2, 1)).astype(np.int8)
+    kind = KIND[data]
     new = np.ones(len(data) + 1, bool)
     new[1:-1] = kind[1:] != kind[:-1]
     new[offsets] = True
@@ -34,48 +37,45 @@ def tokens(data, offsets):
     held = kind[starts] > 0
     starts, ends = starts[held], ends[held]
     h = word_hashes(LOWER[data], starts, ends)
-    capitals = np.r_[0, np.cumsum(UPPER[data])]
+    capitals = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(UPPER[data], out=capitals[1:])
     shout = (capitals[ends] - capitals[starts] == ends - starts) & (ends - starts > 1)
     # all shouted words are one word: what they have in common matters
     h = np.where(shout, np.uint64(1), h)
     return (h & np.uint64(SLOTS - 1)).astype(np.int64), np.searchsorted(offsets, starts, "right") - 1
 
 
-def index_vectors():
-    """Sparse ternary vector of each slot, from a hash of the slot alone."""
-    out = np.zeros((SLOTS, DIMENSIONS), np.int16)
-    for j in range(ENTRIES):
-        h = mix(np.arange(SLOTS, dtype=np.uint64) * np.uint64(ENTRIES) + np.uint64(j + 1))
-        out[np.arange(SLOTS), (h >> np.uint64(8)) % np.uint64(DIMENSIONS)] += np.where(h & np.uint64(1), 1, -1).astype(np.int16)
-    return out
+def index_entries():
+    """(dimension, sign), entries x slots, of each slot's sparse ternary index vector, from a hash of the slot alone."""
+    h = mix(np.arange(SLOTS * ENTRIES, dtype=np.uint64) + np.uint64(1)).reshape(SLOTS, ENTRIES)
+    dimension, sign = ((h >> np.uint64(8)) % np.uint64(DIMENSIONS)).astype(np.int64), np.where(h & np.uint64(1), 1.0, -1.0)
+    return dimension.T.copy(), sign.T.copy()
 
 
-def add_contexts(slot, text, index, total, count):
-    """Adds to each slot's total the index vectors of the tokens up to ``WINDOW`` before and behind each of its tokens."""
-    for a in range(0, len(slot), 1 << 17):
-        b = min(a + (1 << 17), len(slot))
-        around = np.zeros((b - a, DIMENSIONS), np.int16)
-        for step in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
-            other = np.arange(a, b) + step
-            ok = (other >= 0) & (other < len(slot))
-            other = np.where(ok, other, 0)
-            ok &= text[other] == text[a:b]
-            around += index[np.where(ok, slot[other], 0)] * ok[:, None]
-        order = np.argsort(slot[a:b], kind="stable")
-        sorted_slot = slot[a:b][order]
-        cut = np.flatnonzero(np.r_[True, sorted_slot[1:] != sorted_slot[:-1]])
-        total[sorted_slot[cut]] += np.add.reduceat(around[order], cut, axis=0, dtype=np.int64)
-    count += np.bincount(slot, minlength=SLOTS)
+def context_sums(slot, text):
+    """slots x dimensions: for each slot the sum of the index vectors of the tokens up to ``WINDOW`` before and behind each of its tokens."""
+    dimension, sign = index_entries()
+    total = np.zeros(SLOTS * DIMENSIONS)
+    for step in range(1, WINDOW + 1):
+        left, right = slot[:-step], slot[step:]
+        same = text[:-step] == text[step:]
+        left, right = left[same], right[same]
+        for one, other in ((left, right), (right, left)):
+            for k in range(ENTRIES):
+                total += np.bincount(one * DIMENSIONS + dimension[k][other], sign[k][other], minlength=SLOTS * DIMENSIONS)
+    return np.rint(total).astype(np.int64).reshape(SLOTS, DIMENSIONS)
 
 
 _COLUMNS = [f"c{k}" for k in range(DIMENSIONS)]
 
 
 def _contexts(batches):
-    index, total, count = index_vectors(), np.zeros((SLOTS, DIMENSIONS), np.int64), np.zeros(SLOTS, np.int64)
+    total, count = np.zeros((SLOTS, DIMENSIONS), np.int64), np.zeros(SLOTS, np.int64)
     for batch in batches:
         for _, data, offsets in chunks(batch):
-            add_contexts(*tokens(data, offsets), index, total, count)
+            slot, text = tokens(data, offsets)
+            total += context_sums(slot, text)
+            count += np.bincount(slot, minlength=SLOTS)
     slot = np.flatnonzero(count)
     yield pa.RecordBatch.from_arrays(
         [pa.array(slot.astype(np.int32)), pa.array(count[slot]), *(pa.array(total[slot, k]) for k in range(DIMENSIONS))],
@@ -106,24 +106,25 @@ def pooled(data, offsets, vectors):
     """
     slot, text = tokens(data, offsets)
     n = len(offsets) - 1
-    total, square = np.zeros((n, DIMENSIONS)), np.zeros((n, DIMENSIONS))
-    alike = np.zeros((n, 2))
-    for step in (1, 2):
-        for a in range(0, len(slot) - step, 1 << 17):
-            b = min(a + (1 << 17), len(slot) - step)
-            same_text = text[a:b] == text[a + step: b + step]
-            near = np.einsum("ij,ij->i", vectors[slot[a:b]], vectors[slot[a + step: b + step]], dtype=np.float64)
-            alike[:, step - 1] += np.bincount(text[a:b], near * same_text, minlength=n)
-    for a in range(0, len(slot), 1 << 17):
-        v, of = vectors[slot[a: a + (1 << 17)]], text[a: a + (1 << 17)]
-        cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        total[of[cut]] += np.add.reduceat(v, cut, axis=0, dtype=np.float64)
-        square[of[cut]] += np.add.reduceat(v * v, cut, axis=0, dtype=np.float64)
-    size = np.diff(runs(text, n))[:, None]
-    mean = total / np.maximum(size, 1)
-    spread = np.sqrt(np.maximum(square / np.maximum(size, 1) - mean * mean, 0))
-    different = np.bincount(np.unique(text * SLOTS + slot) // SLOTS, minlength=n)[:, None]
-    return np.c_[mean, spread, alike / np.maximum(size, 1), np.log1p(different), different / np.maximum(size, 1), np.log1p(size)]
+    bounds = runs(text, n)
+    out = np.zeros((n, 2 * DIMENSIONS + 5))
+    for i in range(n):
+        a, b = bounds[i], bounds[i + 1]
+        size = max(1, b - a)
+        total, square, alike = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), [0.0, 0.0]
+        for c in range(a, b, BLOCK):  # each block also sees the two tokens behind it
+            v = vectors[slot[c: min(c + BLOCK + 2, b)]]
+            own = v[:BLOCK]
+            total += own.sum(axis=0, dtype=np.float64)
+            square += np.einsum("ij,ij->j", own, own)
+            for step in (1, 2):
+                alike[step - 1] += float(np.vdot(own[: len(v) - step], v[step: step + BLOCK]))
+        mean = total / size
+        different = len(np.unique(slot[a:b]))
+        out[i] = np.concatenate([
+            mean, np.sqrt(np.maximum(square / size - mean * mean, 0)), np.array(alike) / size,
+            [np.log1p(different), different / size, np.log1p(b - a)]])
+    return out
 
 
 class Network:
