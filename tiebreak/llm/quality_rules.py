@@ -19,33 +19,47 @@ SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\x0b\x0c\r "
 
 
+def _let(value, use):
+    """``use(value)`` with the value computed once per row, however often it is used.
+
+    A column would do the same in a projection of its own, but a filter on the result is pushed below that
+    and copies the column's expression to each of its uses.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def _words(text):
     """Runs without space, tab to carriage return."""
-    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
+    return F.array_remove(F.split(text, "[ \\t-\\r]+"), "")
 
 
-def _grams(words, buckets):
-    """Buckets of all words and of all pairs of words in a row."""
+def _gram_rows(rows: DataFrame, text, buckets) -> DataFrame:
+    """A row per word of each row's text: ``b1``, the bucket of the word, and ``b2``, that of the word and
+    the next, null at the end. Words are laid beside their successors and exploded, so that
+    hashing and what follows run in generated code."""
     def bucket(*parts):
         return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
-    pairs = F.when(F.size(words) > 1, F.transform(
-        F.sequence(F.lit(1), F.size(words) - 1), lambda i: bucket(F.get(words, i - 1), F.get(words, i))))
-    return F.concat(F.transform(words, lambda w: bucket(w)), F.coalesce(pairs, F.array().cast("array<int>")))
+    own = [c for c in rows.columns if c != text]
+    w = F.col("_words")
+    words = rows.select(*own, _words(F.coalesce(F.col(text), F.lit(""))).alias("_words"))
+    beside = F.arrays_zip(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))).alias("_next"))
+    pair = words.select(*own, F.explode(beside).alias("_p")).select(
+        *own, F.col("_p._words").alias("_w"), F.col("_p._next").alias("_n"))
+    return pair.select(*own, bucket("_w").alias("b1"), F.when(F.col("_n").isNotNull(), bucket("_w", "_n")).alias("b2"))
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, buckets=BUCKETS, smoothing=SMOOTHING, id_col="doc_id", text_col="text"):
     """log p(bucket | trusted texts) - log p(bucket | all texts), one per bucket.
 
     The corpus counts are scaled to the size of the target, so that ``smoothing`` weighs
-    the same in both multinomials.
-    Counts cover every n-gram of every text. Map sides reduce them to a row per bucket;
-    at most ``buckets`` rows reach the driver.
+    the same in both multinomials. Counts cover every word and every pair of words in a row of every
+    text. Map sides reduce them to a row per bucket; at most ``buckets`` rows reach the driver.
     """
     known = trusted.select(F.col(id_col).alias("_trusted_id")).where("_trusted_id is not null").distinct()
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    joined = rows.join(known, F.col("_id") == F.col("_trusted_id"), "left")
-    grams = joined.select(F.col("_trusted_id").isNotNull().cast("int").alias("t"), _words(F.col("_text")).alias("w")).select(
-        "t", F.explode(_grams(F.col("w"), buckets)).alias("bucket"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    joined = rows.join(known, F.col("_id") == F.col("_trusted_id"), "left").select(
+        F.col("_trusted_id").isNotNull().cast("int").alias("t"), "_text")
+    grams = _gram_rows(joined, "_text", buckets).select("t", F.explode(F.array("b1", "b2")).alias("bucket")).where("bucket is not null")
     counts = {r.bucket: (r.target, r.corpus) for r in grams.groupBy("bucket").agg(
         F.sum("t").alias("target"), F.count("*").alias("corpus")).collect()}
     target, corpus = (sum(c[i] for c in counts.values()) for i in (0, 1))
@@ -56,58 +70,68 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets=BUCKETS, smoothing=SMOOT
     return [math.log((t + smoothing) / (c * share + smoothing)) for t, c in both]
 
 
-def _repeat_words(trigrams, places):
-    """Words in those 3-word windows whose places are given, in order."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
-    return F.aggregate(places, start, lambda a, p: F.struct(
-        (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
-
-
-def base_counts(docs: DataFrame, text_col="text") -> DataFrame:
-    """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and ``_w``, the words."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.array().cast("array<struct<h:bigint,i:int>>")
-    df = docs.withColumn("_w", _words(text)).withColumn("_lines", F.filter(
-        F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != ""))
-    w = F.col("_w")
-    df = df.withColumn("_tri", F.when(F.size(w) > 2, F.transform(
-        F.sequence(F.lit(2), F.size(w) - 1), lambda i: F.xxhash64(F.get(w, i - 2), F.get(w, i - 1), F.get(w, i)))
-    ).otherwise(F.array().cast("array<bigint>")))
-    # windows in the order of their words: those found twice stand side by side; most texts have none and sort nothing
-    df = df.withColumn("_sorted", F.when(
-        F.size(F.array_distinct("_tri")) < F.size("_tri"),
-        F.sort_array(F.transform("_tri", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(none))
-    s = F.col("_sorted")
-    h = lambda j: F.get(s, j)["h"]
-    same = lambda a, b: F.coalesce(a == b, F.lit(False))
-    twice = F.when(F.size(s) > 0, F.filter(
-        F.sequence(F.lit(0), F.size(s) - 1), lambda j: same(h(j), h(j - 1)) | same(h(j), h(j + 1))))
-    df = df.withColumn("_twice", F.coalesce(twice, F.array().cast("array<int>")))
-    df = df.withColumn("_places", F.sort_array(F.transform("_twice", lambda j: F.get(s, j)["i"])))
-    long = lambda c: c.cast("long")
-    df = df.withColumns({
-        "n_words": long(F.size("_w")),
-        "word_chars": long(F.length(F.translate(text, SPACES, ""))),
-        "n_symbols": long(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))),
-        "n_dup_lines": long(F.size("_lines") - F.size(F.array_distinct("_lines"))),
-        "n_repeat_words": long(_repeat_words(F.col("_tri"), F.col("_places"))),
-    })
-    df = df.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
-    return df.drop("_lines", "_tri", "_sorted", "_twice", "_places")
-
-
-def scored(docs: DataFrame, trusted: DataFrame, threshold=THRESHOLD, buckets=BUCKETS, smoothing=SMOOTHING,
-           id_col="doc_id", text_col="text") -> DataFrame:
-    """``docs`` plus the columns of ``quality_rules``; their own columns must not carry those names."""
-    weights = ratios(docs, trusted, buckets, smoothing, id_col, text_col)
-    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
-    df = base_counts(docs, text_col).withColumn("_g", _grams(F.col("_w"), buckets))
-    total = F.aggregate("_g", F.lit(0.0), lambda a, b: a + F.get(table, b))
-    df = df.withColumn("llr", F.when(F.size("_g") > 0, total / F.size("_g")).otherwise(F.lit(0.0)))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("_w", "_g")
+def text_ratios(docs: DataFrame, weights, buckets=BUCKETS, id_col="doc_id", text_col="text") -> DataFrame:
+    """(_id, _key, llr) per id and text that has words: the mean weight of its words and word pairs.
 
-
-def quality_rules(docs: DataFrame, trusted: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
+    Tasks pass on a row per text. Repeated rows weigh a text's grams twice, which leaves the mean as it is.
+    """
+    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+    rows = docs.select(F.col(id_col).alias("_id"), _text_key(text_col).alias("_key"), F.col(text_col).alias("_text"))
+    grams = _gram_rows(rows, "_text", buckets)
+    total = F.get(table, F.col("b1")) + F.coalesce(F.get(table, F.col("b2")), F.lit(0.0))
+    return grams.groupBy("_id", "_key").agg(
+        (F.sum(total) / F.sum(F.when(F.col("b2").isNull(), 1).otherwise(2))).alias("llr"))
+
+
+def _text_key(text_col):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _repeat_words(words):
+    """Words in 3-word windows that are found twice or more."""
+    trigrams = F.when(F.size(words) > 2, F.transform(
+        F.sequence(F.lit(2), F.size(words) - 1), lambda i: F.xxhash64(F.get(words, i - 2), F.get(words, i - 1), F.get(words, i)))
+    ).otherwise(F.array().cast("array<bigint>"))
+
+    def covered(places):
+        start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
+        return F.aggregate(places, start, lambda a, p: F.struct(
+            (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
+
+    def places(s):
+        """In order: where the windows are that stand beside an equal one."""
+        h = lambda j: F.get(s, j)["h"]
+        same = lambda a, b: F.coalesce(a == b, F.lit(False))
+        twice = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: same(h(j), h(j - 1)) | same(h(j), h(j + 1)))
+        return F.sort_array(F.transform(twice, lambda j: F.get(s, j)["i"]))
+
+    # windows in the order of their words: those found twice stand side by side; texts without such windows sort nothing
+    return _let(trigrams, lambda t: F.when(
+        F.size(F.array_distinct(t)) < F.size(t),
+        _let(F.sort_array(F.transform(t, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda s: covered(places(s))),
+    ).otherwise(F.lit(0)))
+
+
+def base_counts(text):
+    """A struct of the base counts of a text column, and whether they fail the base rules."""
+    text = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    long = lambda c, name: c.cast("long").alias(name)
+
+    def judged(c):
+        failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
+        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+        return F.struct(*(c[n].alias(n) for n in names), failed.alias("base_failed"))
+
+    return _let(_words(text), lambda w: _let(F.struct(
+        long(F.size(w), "n_words"), long(F.length(F.regexp_replace(text, "[ \\t-\\r]+", "")), "word_chars"),
+        long(F.length(F.regexp_replace(text, "[^" + SYMBOLS + "]+", "")), "n_symbols"),
+        long(_let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))), "n_dup_lines"),
+        long(_repeat_words(w), "n_repeat_words")), judged))
+
+
+def quality_rules(docs: DataFrame, trusted: DataFrame, threshold=THRESHOLD, buckets=BUCKETS, smoothing=SMOOTHING,
+                  id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept) per row.
 
     ``trusted`` names the texts of the target by ``id_col``. ``llr`` is the log-likelihood ratio of a
@@ -118,16 +142,22 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col="doc_id", text_col
     Null texts count as empty, null ids are never trusted, repeated rows are scored each, an
     empty target leaves every ratio 0. Empty tables give no row; other columns are ignored.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    trusted = trusted.select(F.col(id_col).alias("doc_id"))
-    return scored(own, trusted, text_col="_text", **options).drop("_text")
+    weights = ratios(docs, trusted, buckets, smoothing, id_col, text_col)
+    llr = text_ratios(docs, weights, buckets, id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), _text_key(text_col).alias("_row_key"), base_counts(F.col(text_col)).alias("m"))
+    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key"))
+    return rows.join(llr, match, "left").select("doc_id", "m.*", F.coalesce("llr", F.lit(0.0)).alias("llr")).withColumn(
+        "kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
-def keep_good(docs: DataFrame, trusted: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
+def keep_good(docs: DataFrame, trusted: DataFrame, threshold=THRESHOLD, buckets=BUCKETS, smoothing=SMOOTHING,
+              id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, with their columns and no others."""
-    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    trusted = trusted.select(F.col(id_col).alias("doc_id"))
-    return scored(own, trusted, text_col="_text", **options).where("kept").select("_row.*")
+    weights = ratios(docs, trusted, buckets, smoothing, id_col, text_col)
+    good = text_ratios(docs, weights, buckets, id_col, text_col).where(F.col("llr") >= threshold)
+    rows = docs.withColumn("_row_key", _text_key(text_col)).where(~base_counts(F.col(text_col))["base_failed"])
+    match = rows[id_col].eqNullSafe(good["_id"]) & (rows["_row_key"] == good["_key"])
+    return rows.join(good, match, "left_semi").select(*docs.columns)
 
 
 def trusted_ids(labels: DataFrame, id_col="doc_id", quality_col="quality") -> DataFrame:
