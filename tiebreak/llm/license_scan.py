@@ -73,7 +73,7 @@ DECOYS = (
 NONE = "unknown"
 FAMILIES = (NONE, *TEMPLATES)
 GRAMS = 3
-#: Corpus paragraphs that train the unknown class, at most; those of the smallest hashed texts.
+#: Corpus paragraphs that train the unknown class: those of the smallest hash in so many ranges.
 SAMPLE = 2000
 STEPS, RATE, RIDGE, LASSO = 300, 0.5, 1e-4, 2e-5
 #: A finding's words follow a template if this share of its word pairs is in the paragraph.
@@ -226,10 +226,13 @@ def _scan(shared, out):
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, text_col="text") -> Classifier:
-    """The classifier; its unknown class learns from at most ``sample`` paragraphs of the corpus."""
+    """The classifier; its unknown class learns from ``sample`` paragraphs of the corpus, fewer if it has fewer."""
     paragraph = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("t"))
-    some = paragraph.where(F.length(F.trim("t")) > 0).select(F.xxhash64("t").alias("h"), F.substring("t", 1, 1000).alias("t"))
-    return train([r.t for r in some.orderBy("h", "t").limit(sample).collect()])
+    some = paragraph.where(F.length(F.trim("t")) > 0).select(F.xxhash64("t").alias("h"), "t")
+    # the smallest hash of each of as many ranges: a row per range leaves a task, not a sample of its own
+    least = [r.h for r in some.groupBy(F.pmod("h", F.lit(sample)).alias("range")).agg(F.min("h").alias("h")).collect()]
+    chosen = some.where(F.col("h").isin(least)).select("h", "t").distinct().limit(2 * sample)
+    return train([r.t for r in sorted(chosen.collect())])
 
 
 def scan(docs: DataFrame, model: Classifier, id_col="doc_id", text_col="text") -> DataFrame:
