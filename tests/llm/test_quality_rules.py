@@ -78,6 +78,14 @@ def test_odd_texts_and_clashing_columns(frame, spark):
     assert kept.count() == 2 * sum(r.kept for r in rows.values())
 
 
+def test_texts_too_long_for_numbered_places(frame, monkeypatch):
+    monkeypatch.setattr(qr, "PLACES", 16)
+    texts = ["a b c d " * 3 + "x y z", "a b c " * 40, "p q r s t u v w x y z a b c d e f g h i j", "a b c d e f a b c"]
+    docs = frame(texts)
+    rows = docs.select("doc_id", qr.base_counts(docs.text).alias("m")).select("doc_id", "m.*").collect()
+    assert {r.doc_id: tuple(r[c] for c in COUNTS) for r in rows} == {i: base(t) for i, t in enumerate(texts)}
+
+
 def test_no_python_in_the_plan(frame):
     docs = frame(["a b c d e f " * 20])
     plan = qr.quality_rules(docs, docs)._jdf.queryExecution().executedPlan().toString()

@@ -15,6 +15,8 @@ BUCKETS = 1 << 16
 SMOOTHING = 10.0
 #: Per n-gram. Texts like the target score about zero or above; the margin keeps clean texts in rare words.
 THRESHOLD = -0.09
+#: Texts with fewer words have a window's place and hash in one number.
+PLACES = 1 << 20
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\x0b\x0c\r "
 
@@ -105,11 +107,21 @@ def _repeat_words(words):
         twice = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: same(h(j), h(j - 1)) | same(h(j), h(j + 1)))
         return F.sort_array(F.transform(twice, lambda j: F.get(s, j)["i"]))
 
+    def places_by_number(t, s):
+        """The same from single numbers, which sort faster: the upper bits of a hash, then its place."""
+        place = lambda x: x.bitwiseAND(F.lit(PLACES - 1)).cast("int")
+        same = lambda a, b: F.coalesce(
+            (F.shiftright(a.bitwiseXOR(b), PLACES.bit_length() - 1) == 0) & (F.get(t, place(a)) == F.get(t, place(b))), F.lit(False))
+        twice = F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)))
+        return F.sort_array(F.transform(twice, place))
+
+    def numbered(t):
+        return F.sort_array(F.transform(t, lambda h, i: h.bitwiseAND(F.lit(-PLACES)).bitwiseOR(i.cast("long"))))
+
     # windows in the order of their words: those found twice stand side by side; texts without such windows sort nothing
-    return _let(trigrams, lambda t: F.when(
-        F.size(F.array_distinct(t)) < F.size(t),
-        _let(F.sort_array(F.transform(t, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda s: covered(places(s))),
-    ).otherwise(F.lit(0)))
+    return _let(trigrams, lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), F.lit(0)).when(
+        F.size(t) < PLACES, _let(numbered(t), lambda s: covered(places_by_number(t, s)))).otherwise(
+        _let(F.sort_array(F.transform(t, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda s: covered(places(s)))))
 
 
 def base_counts(text):
@@ -124,7 +136,7 @@ def base_counts(text):
         return F.struct(*(c[n].alias(n) for n in names), failed.alias("base_failed"))
 
     return _let(_words(text), lambda w: _let(F.struct(
-        long(F.size(w), "n_words"), long(F.length(F.regexp_replace(text, "[ \\t-\\r]+", "")), "word_chars"),
+        long(F.size(w), "n_words"), long(F.length(F.array_join(w, "")), "word_chars"),
         long(F.length(F.regexp_replace(text, "[^" + SYMBOLS + "]+", "")), "n_symbols"),
         long(_let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))), "n_dup_lines"),
         long(_repeat_words(w), "n_repeat_words")), judged))
