@@ -54,8 +54,9 @@ def test_whole_run(spark, tmp_path):
     assert result["standings"].count() == 10 and result["bracket"].count() == 4
     assert result["champion"].first().win_probability >= 0.5
     assert 0 < result["bundle"].accuracy <= 1
+    first = [tuple(r) for r in result["standings"].collect()]  # the second run replaces the files
     args["roster"] = d.roster(spark, [(o, f"{t} FC" if o == 2 else t) for o, t in d.ROSTER])
     again = run_season(spark, out, loose_names=True, **args)
     assert again["bundle"].best_params == {k: str(v) for k, v in result["bundle"].best_params.items()}
     # the entry "NATION_14 FC" resolves through its long word
-    assert [tuple(r) for r in again["standings"].collect()] == [tuple(r) for r in result["standings"].collect()]
+    assert [tuple(r) for r in again["standings"].collect()] == first
