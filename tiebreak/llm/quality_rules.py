@@ -17,6 +17,8 @@ SMOOTHING = 10.0
 THRESHOLD = -0.09
 #: Texts with fewer words have a window's place and hash in one number.
 PLACES = 1 << 20
+#: Decimals of a ratio: the ratios travel in the plan.
+DIGITS = 4
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\x0b\x0c\r "
 
@@ -62,14 +64,13 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets=BUCKETS, smoothing=SMOOT
     joined = rows.join(known, F.col("_id") == F.col("_trusted_id"), "left").select(
         F.col("_trusted_id").isNotNull().cast("int").alias("t"), "_text")
     grams = _gram_rows(joined, "_text", buckets).select("t", F.explode(F.array("b1", "b2")).alias("bucket")).where("bucket is not null")
-    counts = {r.bucket: (r.target, r.corpus) for r in grams.groupBy("bucket").agg(
-        F.sum("t").alias("target"), F.count("*").alias("corpus")).collect()}
-    target, corpus = (sum(c[i] for c in counts.values()) for i in (0, 1))
-    if not target:
-        return [0.0] * buckets
-    share, none = target / corpus, (0, 0)
-    both = (counts.get(b, none) for b in range(buckets))
-    return [math.log((t + smoothing) / (c * share + smoothing)) for t, c in both]
+    found = grams.groupBy("bucket").agg(F.sum("t").alias("target"), F.count("*").alias("corpus")).toArrow().to_pydict()
+    target, corpus = sum(found["target"]), sum(found["corpus"])
+    out = [0.0] * buckets
+    if target:
+        for b, t, c in zip(found["bucket"], found["target"], found["corpus"]):
+            out[b] = round(math.log((t + smoothing) / (c * target / corpus + smoothing)), DIGITS)
+    return out
 
 
 def text_ratios(docs: DataFrame, weights, buckets=BUCKETS, id_col="doc_id", text_col="text") -> DataFrame:
