@@ -103,3 +103,47 @@ def test_extent_takes_the_best_stretch():
     assert dc.extent(doc, item, 5, 0, 4.0) == (0, 20, 19)
     doc[6] = 99
     assert dc.extent(doc, item, 5, 10, 4.0) == (2, 20, 17)
+
+
+def seeded(d, t, shift):
+    """Whether some window of a seed fits at this shift."""
+    return any(0 <= a + shift and a + shift + len(s) <= len(d)
+               and all(u == "0" or t[a + j] == d[a + shift + j] for j, u in enumerate(s))
+               for s in dc.SEEDS for a in range(len(t) - len(s) + 1))
+
+
+def test_widest_equals_all_stretches():
+    rnd = np.random.default_rng(3)
+    for _ in range(300):
+        same = rnd.random(rnd.integers(1, 40)) < rnd.choice([0.5, 0.7, 0.85])
+        want = max((int(same[a:b].sum()) for a in range(len(same)) for b in range(a + 1, len(same) + 1)
+                    if same[a:b].sum() >= 0.8 * (b - a) - 1e-9), default=0)
+        a, b, n = dc.widest(same, 0.8)
+        assert n == want == same[a:b].sum() and n >= 0.8 * (b - a) - 1e-9
+
+
+def test_later_hits_of_a_diagonal_count(frame, spark):
+    """7 equal words, 5 rewritten, then 20 equal ones."""
+    item = [f"w{i}" for i in range(32)]
+    doc = item[:7] + ["x1", "x2", "x3", "x4", "x5"] + item[12:]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    row, = dc.overlaps(frame([" ".join(["a", *doc, "b"])]), bench).collect()
+    assert (row.first_word, row.n_words, row.n_matches, row.item_words) == (13, 20, 20, 32)
+
+
+def test_substituted_passages_equal_brute_force(frame, spark):
+    """Passages with 10 to 20 % of their words substituted: every pair that a seed aligns and brute force accepts."""
+    rnd = random.Random(11)
+    items = {j: " ".join(f"w{rnd.randint(0, 5000)}" for _ in range(rnd.choice([20, 30, 40, 60]))) for j in range(20)}
+    docs = {}
+    for i in range(200):
+        passage = items[i % 20].split()
+        for at in rnd.sample(range(len(passage)), round(len(passage) * rnd.uniform(0.1, 0.2))):
+            passage[at] = f"other{rnd.randint(0, 99)}"
+        docs[i] = " ".join(["before"] * rnd.randint(0, 9) + passage + ["behind"] * rnd.randint(0, 9))
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.overlaps(frame(list(docs.values())), bench).collect()}
+    words = {i: tokens(d) for i, d in docs.items()}
+    want = {(i, j) for i, j in brute(docs, items)
+            if any(seeded(words[i], tokens(items[j]), s) for s in range(10))}
+    assert got == want and len(want) > 150

@@ -141,6 +141,45 @@ def extent(doc, item, shift, at, tolerance):
     return left + lo, right + 1 + lo, int(same[left: right + 1].sum())
 
 
+def widest(same, identity):
+    """(first, end, matches) of the stretch with the most equal words of those with at least ``identity`` of them equal."""
+    score = np.r_[0.0, np.cumsum(same - identity)]
+    matches = np.r_[0, np.cumsum(same)]
+    # a stretch that begins at i ends last where the score is last as high as at i: there the highest score still to come is
+    ahead = np.maximum.accumulate(score[::-1])[::-1]
+    end = np.searchsorted(-ahead, 1e-9 - score, "right") - 1
+    first = int(np.argmax(matches[end] - matches))
+    equal = np.flatnonzero(same[first: end[first]])
+    if not len(equal):
+        return 0, 0, 0
+    return first + int(equal[0]), first + int(equal[-1]) + 1, len(equal)
+
+
+def overlap(doc, item, shift, least, identity):
+    """(first, end, matches) in the item of the overlap with ``shift``, or None.
+
+    There is one if any stretch has ``least`` equal words that are ``identity`` of it. Of the stretches that
+    score best over their words, that with the most equal words is taken; where none of these suffices, the widest.
+    """
+    lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+    same = item[lo:hi] == doc[lo + shift: hi + shift]
+    if same.sum() < least:
+        return None
+    first, end, n = widest(same, identity)
+    if n < least:
+        return None
+    best, passed = None, 0
+    for at in np.flatnonzero(same):
+        if at < passed:
+            continue
+        a, b, m = extent(doc, item, shift, int(at) + lo, identity / (1 - identity))
+        if m >= least and m >= identity * (b - a):
+            passed = b - lo
+            if best is None or m > best[2]:
+                best = (a, b, m)
+    return best or (first + lo, end + lo, n)
+
+
 def _verify(min_match, identity, out):
     arrow = arrow_schema(out)
 
@@ -148,13 +187,14 @@ def _verify(min_match, identity, out):
         for batch in batches:
             rows = []
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "text_key", "first_word", "item_id", "item_key")]
-            doc_words, item_words, hits = (batch.column(c) for c in ("doc_words", "item_words", "hits"))
+            doc_words, item_words, shifts = (batch.column(c) for c in ("doc_words", "item_words", "shifts"))
             for i in range(batch.num_rows):
                 doc, item = (x[i].values.to_numpy(zero_copy_only=False) for x in (doc_words, item_words))
                 best = None
-                for shift, at in {h["shift"]: h["at"] for h in hits[i].as_py()}.items():
-                    a, b, n = extent(doc, item, shift, at, identity / (1 - identity))
-                    if n >= min(min_match, len(item)) and n >= identity * (b - a) and (best is None or n > best[2]):
+                for shift in shifts[i].as_py():
+                    found = overlap(doc, item, shift, min(min_match, len(item)), identity)
+                    if found and (best is None or found[2] > best[2]):
+                        a, b, n = found
                         best = (a + shift, b - a, n)
                 if best:
                     doc_id, key, first, item_id, item_key = (c[i] for c in columns)
@@ -168,10 +208,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 12, identit
     """(doc_id, text_key, item_id, first_word, n_words, n_matches, item_words): verified overlaps.
 
     Words are runs of letters and digits, A-Z lower-cased. Both sides hash the words of every
-    window that a seed does not ignore; equal hashes align a text with an item. Around
-    each alignment the stretch with the best balance of equal and substituted words is
-    taken; it counts if ``min_match`` words of it are equal (all words of a shorter item) and at least ``identity``
-    of its words. The best stretch per text and item is returned.
+    window that a seed does not ignore; equal hashes align a text with an item. An alignment
+    counts if any stretch of it, not only that round its first hit, has ``min_match`` equal words (all words of a
+    shorter item) that are at least ``identity`` of its words. The stretch with the best balance of equal and
+    substituted words is taken, the widest where that alone does not count. The best stretch per text and item is returned.
 
     A fixed-size filter of the benchmark's hashes travels to the tasks, so that only windows
     that may hit leave them; hits are then joined on the hash itself. Null or empty texts
@@ -209,15 +249,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 12, identit
     hits = regions.select(*region, F.explode("hits").alias("hit")).select(*region, F.col("hit.at").alias("doc_at"), "hit.h")
     aligned = (
         hits.join(item_rows.select("h", "item_id", "item_key", "at"), "h")
-        .groupBy(*region, "item_id", "item_key", (F.col("doc_at") - F.col("at")).alias("shift")).agg(F.min("at").alias("at"))
-        .groupBy(*region, "item_id", "item_key").agg(F.collect_list(F.struct("shift", "at")).alias("hits")))
+        .select(*region, "item_id", "item_key", (F.col("doc_at") - F.col("at")).alias("shift")).distinct()
+        .groupBy(*region, "item_id", "item_key").agg(F.collect_list("shift").alias("shifts")))
     out = T.StructType([*place, *key, *(T.StructField(c, integer) for c in ("first_word", "n_words", "n_matches", "item_words"))])
     same_region = [aligned[c].eqNullSafe(regions[c]) for c in region]
     same_item = aligned["item_id"].eqNullSafe(item_words["item_id"]) & (aligned["item_key"] == item_words["item_key"])
     verified = (
         aligned.join(item_words, same_item).drop(item_words["item_id"]).drop(item_words["item_key"])
         .join(regions.drop("hits"), same_region)
-        .select(*(aligned[c] for c in region), aligned["item_id"], aligned["item_key"], "hits", "item_words", "doc_words")
+        .select(*(aligned[c] for c in region), aligned["item_id"], aligned["item_key"], "shifts", "item_words", "doc_words")
         .mapInArrow(_verify(min_match, identity, out), out))
     best = F.max(F.struct("n_matches", (-F.col("first_word")).alias("early"), "n_words", "item_words")).alias("b")
     return verified.groupBy("doc_id", "text_key", "item_id").agg(best).select(
