@@ -113,3 +113,39 @@ def test_odd_texts_and_empty_tables(frame):
     none = li.learn(docs.limit(0), rounds=1)
     assert none.langs == [] and {r.lang_pred for r in li.predict(docs, none).collect()} == {"und"}
     assert li.predict(docs.limit(0), model).count() == 0
+
+
+def test_no_piece_is_left_out():
+    import sentencepiece
+    model = sentencepiece.SentencePieceProcessor(model_file=li.VOCABULARY)
+    ids = (i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
+    want = {model.id_to_piece(i).replace("\u2581", " ").lower().encode() for i in ids}
+    assert set(li.pieces_of(li.VOCABULARY)) == want and li.Lookup(sorted(want)).longest == max(map(len, want)) > 20
+    assert li.ROUNDS >= 2
+
+
+def test_long_words_carry_their_sums(monkeypatch):
+    """Likelihoods and uses of words in several stretches equal those of one lattice over the whole word."""
+    monkeypatch.setattr(li, "STRETCH", 5)
+    rnd = np.random.default_rng(6)
+    p, lookup = rnd.random((len(PIECES) + 1, 2)) / 10, li.Lookup(PIECES)
+    texts = ["".join(rnd.choice(["a", "b", "c", "ß", "z", "語"], n)) for n in (6, 7, 12, 12, 30, 31, 45)]
+    data = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    size = np.array([len(w.encode()) for w in texts])
+    first = np.cumsum(size + 1) - size - 1
+    order = np.argsort(-size, kind="stable")
+    weight, uses, want = rnd.random((len(texts), 2)), np.zeros((len(p), 2)), np.zeros((len(p), 2))
+    long = li.LongWords(data, first[order], size[order], lookup, len(PIECES))
+    long.expected(p, weight[order], uses)
+    for i, got in zip(order, long.forward(p)):
+        lattice = li.Lattice(np.array([list(b" " + texts[i].encode())], np.uint8), lookup, len(PIECES))
+        assert got == pytest.approx(np.log(lattice.forward(p)[lattice.n][0]))
+        lattice.expected(p, weight[i: i + 1], want)
+    assert uses == pytest.approx(want)
+
+
+def test_very_long_words_keep_a_likelihood():
+    p = np.full((len(PIECES) + 1, 2), [1e-3, 1e-4])
+    model, text = li.Model(PIECES, ["x", "y"], np.zeros(2), p), ("z" * 2000).encode()
+    (x, y), = li.log_likelihoods(np.frombuffer(text, np.uint8), np.array([0, len(text)]), model, li.Lookup(PIECES))
+    assert x == pytest.approx(2001 * np.log(1e-3)) and y == pytest.approx(2001 * np.log(1e-4))

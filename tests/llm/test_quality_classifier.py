@@ -92,3 +92,8 @@ def test_odd_rows_and_empty_tables(frame, spark):
     assert {r.score for r in qc.score(docs, qc.learn(docs, labels.limit(0))).collect()} == {0.5}
     assert qc.score(docs.limit(0), model).count() == 0
     assert qc.learn(docs.limit(0), labels)[0].any() == np.False_
+
+
+def test_index_vectors_have_four_entries():
+    dimension, sign = qc.index_entries()
+    assert dimension.shape == sign.shape == (4, qc.SLOTS)

@@ -11,10 +11,13 @@ from .textarrays import FNV_OFFSET, FNV_PRIME, arrow_schema, chunks, runs, word_
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNDETERMINED = "und"
-#: Longest piece in bytes, longest stretch of a word that is segmented as one, bytes of text taken at once.
-MAX_PIECE, MAX_WORD, CHUNK = 8, 32, 12 << 20
+#: Longest word in bytes that is segmented as one: any.
+MAX_WORD = None
+#: Bytes whose sums are made at once, so that none gets too small for a number: longer words carry theirs from stretch to
+#: stretch. Bytes of long words, and of text, taken at once.
+STRETCH, LONG, CHUNK = 24, 1 << 19, 12 << 20
 #: Pseudo-count of a piece, passes over the training texts, and how much probability a character outside the vocabulary has.
-SMOOTHING, ROUNDS, UNKNOWN = 0.1, 1, 1e-6
+SMOOTHING, ROUNDS, UNKNOWN = 0.1, 2, 1e-6
 #: Most languages that are learned; the models are that many numbers per piece.
 MAX_LANGUAGES = 512
 # ASCII that is no letter ends a word; other scripts' punctuation stays and is an unknown character
@@ -31,9 +34,7 @@ def pieces_of(path):
     found = set()
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
-            piece = model.id_to_piece(i).replace("▁", " ").lower().encode()
-            if len(piece) <= MAX_PIECE:
-                found.add(piece)
+            found.add(model.id_to_piece(i).replace("▁", " ").lower().encode())
     return sorted(found)
 
 
@@ -44,6 +45,8 @@ class Lookup:
 
     def __init__(self, pieces):
         self.hash = np.array([self.of(p) for p in pieces], np.uint64)
+        # in bytes; a character without a piece has up to four
+        self.longest = max([4, *map(len, pieces)])
         self.first, self.second = (np.full(1 << self.BITS, -1, np.int32) for _ in range(2))
         a, b = self.slots(self.hash)
         self.first[a] = np.arange(len(pieces))
@@ -79,93 +82,155 @@ class Lattice:
     """All segmentations of words of one length: the piece, or -1, from each start for each length.
 
     ``words`` is a matrix of bytes, a word per row. A character without a piece of its own is
-    one unknown piece, numbered ``n_pieces``.
+    one unknown piece, numbered ``n_pieces``. The last ``ahead`` bytes belong to the next stretch of a
+    longer word: pieces end there, but none begins.
     """
 
-    def __init__(self, words, lookup, n_pieces):
-        n_words, n = words.shape
-        self.n, self.edges = n, {}
+    def __init__(self, words, lookup, n_pieces, ahead=0):
+        n_words, total = words.shape
+        self.n, self.total, self.longest, self.edges = total - ahead, total, lookup.longest, {}
         starts_char = (words & 0xC0) != 0x80
         width = np.where(words >= 0xF0, 4, np.where(words >= 0xE0, 3, np.where(words >= 0xC0, 2, 1)))
         h = np.full(words.shape, FNV_OFFSET, np.uint64)
-        for size in range(1, min(MAX_PIECE, n) + 1):
-            h = (h[:, : n - size + 1] ^ words[:, size - 1:]) * FNV_PRIME
+        for size in range(1, min(lookup.longest, total) + 1):
+            starts = min(self.n, total - size + 1)
+            h = (h[:, :starts] ^ words[:, size - 1: size - 1 + starts]) * FNV_PRIME
             found = lookup.find((h * SPREAD).ravel()).reshape(h.shape)
-            unknown = (found < 0) & (width[:, : n - size + 1] == size) & starts_char[:, : n - size + 1]
+            unknown = (found < 0) & (width[:, :starts] == size) & starts_char[:, :starts]
             found = np.where(unknown, n_pieces, found)
-            for at in range(n - size + 1):
+            for at in np.flatnonzero((found >= 0).any(axis=0)).tolist():
                 rows = np.flatnonzero(found[:, at] >= 0)
-                if len(rows):
-                    self.edges[at, size] = rows, found[rows, at]
+                self.edges[at, size] = rows, found[rows, at]
         self.n_words = n_words
 
-    def forward(self, p):
-        """Probabilities of all segmentations of each prefix; ``p`` is pieces x languages."""
-        alpha = np.zeros((self.n + 1, self.n_words, p.shape[1]))
-        alpha[0] = 1
+    def forward(self, p, carried=None):
+        """Probabilities of all segmentations of each prefix; ``p`` is pieces x languages.
+
+        ``carried`` are those of the first positions, from the stretch before.
+        """
+        alpha = np.zeros((self.total + 1, self.n_words, p.shape[1]))
+        if carried is None:
+            alpha[0] = 1
+        else:
+            alpha[: len(carried)] = carried[: self.total + 1]
         for at in range(self.n):
-            for size in range(1, MAX_PIECE + 1):
+            for size in range(1, self.longest + 1):
                 if (at, size) in self.edges:
                     rows, ids = self.edges[at, size]
                     alpha[at + size, rows] += alpha[at, rows] * p[ids]
         return alpha
 
-    def expected(self, p, weight, out):
-        """Adds the expected uses of each piece over all segmentations, ``weight`` of each word and language.
+    def uses(self, p, alpha, behind, share, out):
+        """Adds the uses of each piece, ``share`` of each word; gives the sums of what follows each position.
 
-        ``p`` may have one column for all languages.
+        ``behind`` are these sums from the last position on.
         """
-        alpha = self.forward(p)
         beta = np.zeros_like(alpha)
-        beta[self.n] = 1
+        beta[self.n:] = behind
         for at in range(self.n - 1, -1, -1):
-            for size in range(1, MAX_PIECE + 1):
+            for size in range(1, self.longest + 1):
                 if (at, size) in self.edges:
                     rows, ids = self.edges[at, size]
                     beta[at, rows] += beta[at + size, rows] * p[ids]
-        share = weight / np.maximum(alpha[self.n], 1e-300)
         for (at, size), (rows, ids) in self.edges.items():
             use = alpha[at, rows] * p[ids] * beta[at + size, rows] * share[rows]
             for k in range(out.shape[1]):
                 out[:, k] += np.bincount(ids, use[:, k], minlength=len(out))
+        return beta
+
+    def expected(self, p, weight, out):
+        """Adds the expected uses of each piece over all segmentations, ``weight`` of each word and language.
+
+        ``p`` may have one column for all languages.
+        """
+        alpha = self.forward(p)
+        self.uses(p, alpha, 1.0, weight / np.maximum(alpha[self.n], 1e-300), out)
 
 
-def _stretches(data, offsets):
-    """Distinct stretches of words by length, and which stretch stands where.
+class LongWords:
+    """All segmentations of words over ``STRETCH`` bytes, the longest first.
 
-    Yields nothing for a text without words. Returns (text of each stretch, number of its
-    distinct stretch, [(numbers, matrix of bytes)] per length). Words longer than ``MAX_WORD``
-    bytes are several stretches; the first carries the word-start sign.
+    Stretches of all words stand side by side. The sums of the positions that pieces reach behind a
+    stretch are carried on, scaled to one at most, with the log of the scale; so no piece is lost at a cut.
     """
-    starts, ends, text = words(data, offsets, NO_LETTER)
-    n_cut = (ends - starts - 1) // MAX_WORD + 1
-    word = np.repeat(np.arange(len(starts)), n_cut)
-    cut = np.arange(len(word)) - np.repeat(np.cumsum(n_cut) - n_cut, n_cut)
-    first = starts[word] + cut * MAX_WORD
-    for _ in range(3):  # never cut inside a character
-        first -= (data[first] & 0xC0) == 0x80
-    last = np.where(np.r_[word[1:] == word[:-1], np.zeros(min(1, len(word)), bool)], np.r_[first[1:], first[:1]], ends[word])
-    h = word_hashes(data, first, last) + (cut > 0).astype(np.uint64)
-    _, at, number = np.unique(h, return_index=True, return_inverse=True)
-    first, size, begins = first[at], (last - first)[at], (cut == 0)[at]
-    groups = []
-    for begin in (True, False):
-        for n in np.unique(size[begins == begin]):
-            rows = np.flatnonzero((size == n) & (begins == begin))
-            matrix = data[first[rows][:, None] + np.arange(n)]
-            if begin:
-                matrix = np.c_[np.full(len(rows), MARK, np.uint8), matrix]
-            groups.append((rows, matrix))
-    return text[word], number, len(at), groups
+
+    def __init__(self, data, first, size, lookup, n_pieces):
+        self.data, self.first, self.size, self.lookup, self.n_pieces = data, first, size + 1, lookup, n_pieces
+        self.steps = -(-int(self.size.max()) // STRETCH)
+
+    def step(self, k):
+        """(words, lattice) of all words whose ``k``-th stretch is as long."""
+        rest = self.size - k * STRETCH
+        total = np.minimum(rest, STRETCH + self.lookup.longest - 1)
+        for n in np.unique(total[rest > 0]):
+            rows = np.flatnonzero(total == n)
+            at = self.first[rows][:, None] + np.arange(k * STRETCH, k * STRETCH + n) - 1
+            matrix = self.data[np.maximum(at, 0)]
+            if k == 0:
+                matrix[:, 0] = MARK
+            yield rows, Lattice(matrix, self.lookup, self.n_pieces, int(n) - min(STRETCH, int(n)))
+
+    def forward(self, p, kept=None):
+        """words x languages: the log of the sum over all segmentations; ``kept`` gets the start of each stretch."""
+        log = np.zeros((len(self.size), p.shape[1]))
+        window = np.zeros((self.lookup.longest, *log.shape))
+        window[0] = 1
+        for k in range(self.steps):
+            window = window[:, : int((self.size > k * STRETCH).sum())]
+            if kept is not None:
+                kept.append((window, log[: window.shape[1]].copy()))
+            after = np.zeros_like(window)
+            for rows, lattice in self.step(k):
+                last = lattice.forward(p, window[:, rows])[lattice.n:]
+                top = np.maximum(last.max(axis=0), 1e-300)
+                after[: len(last), rows] = last / top
+                log[rows] += np.log(top)
+            window = after
+        return log
+
+    def expected(self, p, weight, out):
+        """As that of ``Lattice``, from the last stretches to the first."""
+        kept = []
+        whole = self.forward(p, kept)
+        log = np.zeros_like(whole)
+        window = np.zeros((self.lookup.longest, *log.shape))
+        for k in range(self.steps - 1, -1, -1):
+            before, scale = kept.pop()
+            for rows, lattice in self.step(k):
+                alpha = lattice.forward(p, before[:, rows])
+                behind = window[: lattice.total - lattice.n + 1, rows] if lattice.total > lattice.n else 1.0
+                share = weight[rows] * np.exp(np.minimum(scale[rows] + log[rows] - whole[rows], 700))
+                beta = lattice.uses(p, alpha, behind, share, out)[: self.lookup.longest]
+                top = np.maximum(beta.max(axis=0), 1e-300)
+                window[: len(beta), rows] = beta / top
+                log[rows] += np.log(top)
 
 
 BLOCK = 16384
 
 
-def _blocks(groups):
-    for rows, matrix in groups:
-        for i in range(0, len(rows), BLOCK):
-            yield rows[i: i + BLOCK], matrix[i: i + BLOCK]
+def _segmented(data, offsets, lookup, n_pieces):
+    """Distinct words, and which of them stands where.
+
+    Returns (text of each word, number of its distinct word, how many there are, generator of (numbers,
+    ``Lattice`` or ``LongWords``)). The word-start sign is their first byte.
+    """
+    starts, ends, text = words(data, offsets, NO_LETTER)
+    _, at, number = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    first, size = starts[at], (ends - starts)[at]
+
+    def blocks():
+        for n in np.unique(size[size < STRETCH]):
+            rows = np.flatnonzero(size == n)
+            for some in (rows[i: i + BLOCK] for i in range(0, len(rows), BLOCK)):
+                matrix = data[first[some][:, None] + np.arange(n)]
+                yield some, Lattice(np.c_[np.full(len(some), MARK, np.uint8), matrix], lookup, n_pieces)
+        rows = np.flatnonzero(size >= STRETCH)
+        rows = rows[np.argsort(-size[rows], kind="stable")]
+        block = (np.cumsum(size[rows]) - size[rows]) // LONG
+        for some in np.split(rows, np.flatnonzero(np.diff(block)) + 1) if len(rows) else ():
+            yield some, LongWords(data, first[some], size[some], lookup, n_pieces)
+    return text, number, len(at), blocks()
 
 
 def _lowered(batch):
@@ -182,11 +247,11 @@ def _expected(pieces, p, n_langs):
         total = np.zeros((len(pieces.value) + 1, n_langs))
         for batch in batches:
             for part, data, offsets in chunks(_lowered(batch), limit=CHUNK):
-                text, number, n, groups = _stretches(data, offsets)
+                text, number, n, blocks = _segmented(data, offsets, lookup, len(pieces.value))
                 lang = part.column("lang_no").to_numpy()[text]
                 weight = np.bincount(number * n_langs + lang, minlength=n * n_langs).reshape(n, n_langs).astype(float)
-                for rows, matrix in _blocks(groups):
-                    Lattice(matrix, lookup, len(pieces.value)).expected(model, weight[rows], total)
+                for rows, lattice in blocks:
+                    lattice.expected(model, weight[rows], total)
         fixed = np.rint(total * 1000).astype(np.int64)
         piece, lang = np.nonzero(fixed)
         yield pa.RecordBatch.from_arrays(
@@ -238,11 +303,13 @@ def learn(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS, s
 
 def log_likelihoods(data, offsets, model, lookup):
     """texts x languages: log of the probability summed over all segmentations of all words."""
-    text, number, n, groups = _stretches(data, offsets)
+    text, number, n, blocks = _segmented(data, offsets, lookup, len(model.pieces))
     each = np.zeros((n, len(model.langs)))
-    for rows, matrix in _blocks(groups):
-        lattice = Lattice(matrix, lookup, len(model.pieces))
-        each[rows] = np.log(np.maximum(lattice.forward(model.p)[lattice.n], 1e-300))
+    for rows, lattice in blocks:
+        if isinstance(lattice, LongWords):
+            each[rows] = lattice.forward(model.p)
+        else:
+            each[rows] = np.log(np.maximum(lattice.forward(model.p)[lattice.n], 1e-300))
     total = np.vstack([np.zeros((1, len(model.langs))), np.cumsum(each[number], axis=0)])
     bounds = runs(text, len(offsets) - 1)
     return total[bounds[1:]] - total[bounds[:-1]]
