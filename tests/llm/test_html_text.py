@@ -78,3 +78,19 @@ def test_nulls_repeated_rows_and_empty_tables(spark):
     rows = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract(pages).collect()), key=repr)
     assert rows == [(1, None, "", 0), (2, "u", "x", 1), (2, "u", "x", 1), (None, "u", "", 0)]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_ids_from_headings_and_linked_lists_stay_in_the_article():
+    inner = MAIN + """<section id='related-work'><h2 id='social-impact'>Social impact</h2><p id='notice-of-meeting'>Some words.</p></section>
+<h3 id='search-results' class='section-header'>Search results</h3><h2><span id='Comments'>Comments</span></h2><p>Kept.</p>
+<section><h2>Sources</h2><ul><li><a href=x>A first source with a long title</a></li><li><a href=y>A second source</a></li></ul></section>
+<table><tr><td><a href=z>A linked cell</a></td></tr></table><div class='see-also'><a href=q>See also this page</a></div>"""
+    marked = """<div class='related-posts'><p>Read on</p></div><div class='ad'>Buy</div><div id='comments'><p>Nice!</p></div>"""
+    want = TEXT + ("\nSocial impact\nSome words.\nSearch results\nComments\nKept.\nSources\nA first source with a long title\nA second source"
+                   "\nA linked cell\nSee also this page")
+    assert html_text.main_text(page(BAD + f"<article id='sharing-news'>{inner}{marked}</article>" + TAIL)) == want
+
+
+def test_ids_of_headings_count_nowhere():
+    inner = MAIN.replace("<h1>", "<h1 id='sponsored-search'>") + "<section id='related-work'><h2 id='social-impact'>Impact</h2><p>More words.</p></section>"
+    assert html_text.main_text(page(BAD + f"<main>{inner}</main>" + TAIL)) == TEXT + "\nImpact\nMore words."

@@ -42,6 +42,15 @@ MARKS = frozenset((
 PAGE_HEAD = frozenset("header head masthead topbar".split())
 CONTENT = frozenset("article content main post entry story body text".split())
 LAYOUT = frozenset("has with no without".split())
+# words beside a mark that leave it a name for a part of a page, and no heading
+PARTS = frozenset((
+    "area article articles bar block box btn button buttons container content form group icon icons inner item items label large "
+    "link links list main media mobile module outer page panel post posts row section site slot small stories story "
+    "tools top bottom left right middle unit wrap wrapper x").split())
+# their ids are anchors, made from headings
+ANCHORS = frozenset("h1 h2 h3 h4 h5 h6 p span a article".split())
+# inside an article the ids of these alone name a part
+BOXES = frozenset("div ul ol dl table".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
@@ -50,8 +59,17 @@ ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _marked(tag, attributes):
-    """Whether the element's own name, role, class or id says that it is not the article."""
+def _known(parts):
+    """Whether a name says nothing but what part of a page it is: a mark, and words for parts beside it."""
+    return not MARKS.isdisjoint(parts) and all(p in MARKS or p in PARTS or p.isdigit() for p in parts)
+
+
+def _marked(tag, attributes, inside=False):
+    """Whether the element's own name, role, class or id says that it is not the article.
+
+    ``inside`` an article only whole known names count ("share-buttons", not "social-impact"), and ids of boxes only.
+    Ids of headings and paragraphs count nowhere, those of sections outside articles if the whole name is known.
+    """
     if tag in NEVER:
         return True
     if "=" not in attributes:
@@ -61,10 +79,16 @@ def _marked(tag, attributes):
         return True
     if "display:none" in found.get("style", "").replace(" ", "").lower():
         return True
-    for name in (found.get("class", "") + " " + found.get("id", "")).split():
+    ids = found.get("id", "").split() if (tag in BOXES if inside else tag not in ANCHORS) else []
+    classes = found.get("class", "").split()
+    for i, name in enumerate(classes + ids):
         parts = [p.lower() for p in NAME_PART.findall(name)]
         if not LAYOUT.isdisjoint(parts):
             continue
+        if _known(parts):
+            return True
+        if inside or (tag == "section" and i >= len(classes)):
+            continue
         if not MARKS.isdisjoint(parts) or (not PAGE_HEAD.isdisjoint(parts) and CONTENT.isdisjoint(parts)):
             return True
     return False
@@ -118,7 +142,7 @@ class Page:
                     self.texts.append((stack[-1], " "))
                 self.tag.append(tag)
                 self.parent.append(stack[-1])
-                self.marked.append(_marked(tag, m[3]))
+                self.marked.append(_marked(tag, m[3], inside=bool(open_tags.get("article"))))
                 if tag in RAW:
                     stop = re.compile("</" + tag + r"(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(source, end)
                     self.texts.append((len(self.tag) - 1, source[end: stop.start()]))
@@ -226,10 +250,11 @@ def main_text(source):
     for i in range(1, n):
         if tag[i] == "h1" and parent[i] in path and i < top and not gone[i]:
             content[i] = True
-    shown = [False] * n
+    shown, inside = [False] * n, [False] * n
     for i in range(n):
+        inside[i] = tag[i] == "article" or (i > 0 and inside[parent[i]])
         menu = tag[i] in ("ul", "ol", "dl", "div", "section", "table") and chars[i] and link_chars[i] > 0.7 * chars[i]
-        shown[i] = not gone[i] and not (menu and tag[i] != "article") and (content[i] or (i > 0 and shown[parent[i]]))
+        shown[i] = not gone[i] and not (menu and not inside[i]) and (content[i] or (i > 0 and shown[parent[i]]))
     blocks, block = [], []
     for i, text in [*texts, (0, None)]:
         if text is None:
