@@ -73,3 +73,35 @@ def test_odd_texts_and_empty_tables(frame, model):
     assert [(f.paragraph, f.family, f.confirmed) for f in rows[n].findings] == [(2, "mit", True)] and rows[n].families == ["mit"]
     assert rows[n + 1].families == ["mit"]
     assert ls.scan(docs.limit(0), model).count() == 0
+
+
+HEADERS = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:""",
+    "gpl": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "apache": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0""",
+}
+
+
+def test_wrapped_notices(frame, model):
+    texts, want = [], []
+    for family, header in HEADERS.items():
+        for mark in ("", "# ", " * ", "// "):
+            texts.append("A program.\n\n" + "\n".join(mark + line for line in header.split("\n")) + "\n\ncode goes here")
+            want.append([family])
+    texts += ["Some day she will be granted\nfree of charge a copy of the book\nand all its documentation", "All rights\n\nreserved"]
+    want += [[], []]
+    rows = {r.doc_id: r for r in ls.scan(frame(texts), model).collect()}
+    assert [rows[i].families for i in range(len(texts))] == want
+    assert all(2 in [f.paragraph for f in rows[i].findings if f.confirmed] for i in range(len(texts) - 2))

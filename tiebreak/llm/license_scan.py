@@ -78,6 +78,8 @@ SAMPLE = 2000
 STEPS, RATE, RIDGE, LASSO = 300, 0.5, 1e-4, 2e-5
 #: A finding's words follow a template if this share of its word pairs is in the paragraph.
 SIMILARITY = 0.75
+#: Words over which a wrapped notice may be spread, times those of its template.
+SPREAD = 1.5
 
 
 def _paragraphs(data, offsets):
@@ -121,6 +123,46 @@ class Classifier:
         self.temperature, self.threshold = temperature, threshold
         self.pairs = {f: [set(rolling(_of_strings([t])[0], 2).tolist()) for t in ts] for f, ts in TEMPLATES.items()}
 
+        # of each template: family, word pairs, and those as rows (pair, template) in order of the pair
+        self.templates = sorted(((f, t) for f, ts in self.pairs.items() for t in ts), key=lambda x: -len(x[1]))
+        rows = sorted((g, i) for i, (_, t) in enumerate(self.templates) for g in t)
+        self.pair, self.template = np.array([g for g, _ in rows], np.uint64), np.array([i for _, i in rows])
+
+    def wrapped(self, h, paragraph, text_of):
+        """(family, first line, last line) of stretches of two and more lines in which a template's word pairs stand together.
+
+        Lines in a row that have words are one block; pairs may reach over a line end. Longest templates first.
+        """
+        block = np.cumsum(np.r_[0, (np.diff(paragraph) > 1) | (np.diff(text_of[paragraph]) > 0)]) if len(h) else paragraph
+        g = rolling(h, 2)
+        a, b = np.searchsorted(self.pair, g, "left"), np.searchsorted(self.pair, g, "right")
+        hit = np.flatnonzero((b > a) & (block[: len(g)] == block[1:][: len(g)]))
+        n = (b - a)[hit]
+        at = np.repeat(hit, n)
+        if not len(at):
+            return
+        row = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a[hit], n)
+        group = self.template[row] * (int(block[-1]) + 1) + block[at]
+        order = np.lexsort((at, group))
+        at, row, group = at[order], row[order], group[order]
+        cuts = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)]
+        least = np.array([SIMILARITY * len(t) for _, t in self.templates])[self.template[row[cuts[:-1]]]]
+        for c in np.flatnonzero((np.diff(cuts) >= least) & (paragraph[at[cuts[1:] - 1] + 1] > paragraph[at[cuts[:-1]]])):
+            places, pairs = at[cuts[c]: cuts[c + 1]], row[cuts[c]: cuts[c + 1]]
+            family, template = self.templates[self.template[pairs[0]]]
+            reach = SPREAD * (len(template) + 1)
+            left, held = 0, {}
+            for right, pair in enumerate(pairs):
+                held[pair] = held.get(pair, 0) + 1
+                while held[pairs[left]] > 1 or places[right] + 2 - places[left] > reach:
+                    held[pairs[left]] -= 1
+                    if not held[pairs[left]]:
+                        del held[pairs[left]]
+                    left += 1
+                first, last = paragraph[places[left]], paragraph[places[right] + 1]
+                if len(held) >= least[c] and last > first:
+                    yield family, int(first), int(last)
+
     def probabilities(self, h, paragraph):
         """(paragraphs with a known n-gram, their probabilities per family); all others are unknown by the bias alone."""
         par, feature = _features(h, paragraph, self.vocabulary)
@@ -218,6 +260,23 @@ def _scan(shared, out):
                     found[text_of[at[i]]].append({
                         "paragraph": int(number[at[i]]), "family": FAMILIES[family], "probability": float(p[i, family]),
                         "similarity": alike, "confirmed": alike >= SIMILARITY})
+                taken = {(text, f["paragraph"], f["family"]) for text, own in enumerate(found) for f in own if f["confirmed"]}
+                for name, first, last in model.wrapped(h, paragraph, text_of):
+                    if any((text_of[first], int(number[i]), name) in taken for i in range(first, last + 1)):
+                        continue
+                    own = h[np.searchsorted(paragraph, first, "left"): np.searchsorted(paragraph, last, "right")]
+                    _, q = model.probabilities(own, np.zeros(len(own), np.int64))
+                    if not len(q) or 1 - q[0, 0] < model.threshold:
+                        continue
+                    family = 1 + int(q[0, 1:].argmax())
+                    alike = model.similarity(own, FAMILIES[family])
+                    lines = {(text_of[first], int(number[i]), FAMILIES[family]) for i in range(first, last + 1)}
+                    if alike >= SIMILARITY and taken.isdisjoint(lines):
+                        taken |= lines
+                        found[text_of[first]].append({
+                            "paragraph": int(number[first]), "family": FAMILIES[family], "probability": float(q[0, family]),
+                            "similarity": alike, "confirmed": True})
+                found = [sorted(own, key=lambda f: f["paragraph"]) for own in found]
                 yield pa.RecordBatch.from_arrays([
                     *(part.column(f.name) for f in arrow if f.name not in ("findings", "n_paragraphs")),
                     pa.array(np.bincount(text_of, minlength=part.num_rows).astype(np.int32)),
@@ -241,7 +300,9 @@ def scan(docs: DataFrame, model: Classifier, id_col="doc_id", text_col="text") -
     Paragraphs are lines; words are runs of letters and digits, A-Z lower-cased. A finding is a paragraph that is a
     notice with at least the calibrated probability: its number, likeliest family, probability and
     similarity to that family's closest template. ``families`` are those of the findings that
-    a template confirms, in order. What no template confirms stays a finding only.
+    a template confirms, in order. What no template confirms stays a finding only. Lines in a row that hold a template's
+    word pairs only together (a hard-wrapped notice, with comment marks or without) are judged as one, and found
+    at the first of them if confirmed.
 
     Null and empty texts have no paragraph; null ids and repeated rows pass through; an empty
     table gives no row; other columns are ignored.
