@@ -1,11 +1,12 @@
-"""Exact repeated passages by a sparse suffix array.
+"""Exact repeated passages by grouped window hashes at the anchors of a sparse suffix array.
 
-Suffixes are kept at content-selected minimiser positions only. Every ``min_words`` words in a row
+Positions are kept at content-selected minimisers only. Every ``min_words`` words in a row
 (a window) have one anchor, the minimiser among their first words, which depends on those words alone. So a
-passage that occurs twice has the same anchors in both places, and the suffixes there sort under the same
-``key_words`` words. Neighbours of that order are compared by how far they agree to the left and right: a
-suffix stands for the run of windows it anchors. Suffixes whose whole runs agree are one class; where a key has
-several classes, one member of each is compared window by window.
+passage that occurs twice has the same anchors in both places, and the ``key_words`` words there have the same hash.
+No suffix is sorted and no match is extended between neighbours: rows are grouped by that hash, so that no order over
+the corpus is needed and a frequent passage is one row. Anchors whose whole runs of windows have the same hash are one
+class; where a key has several classes, the hashes of all windows of one member of each are grouped. This
+finds every window that repeats. Words are compared by 64-bit hashes, which nothing verifies.
 """
 
 import numpy as np
@@ -165,7 +166,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, key_words: in
 
     A passage is a maximal run of words each of which lies in ``min_words`` words that
     occur at another place too, in any text, itself included. Words are runs without
-    white space, compared exactly. The place with the smallest (id, text, position) is the first;
+    white space, compared by 64-bit hashes of all their bytes. The place with the smallest (id, text, position) is the first;
     ``dropped`` passages repeat what a first place holds and are in none themselves,
     their ``source_ids`` are the ids that keep the words.
 
