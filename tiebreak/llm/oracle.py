@@ -62,3 +62,24 @@ LEFT JOIN paths p ON p.doc_id = l.doc_id
 JOIN fold f ON f.doc_id = l.doc_id AND f.step = coalesce(len(p.path), 0)
 CROSS JOIN (SELECT nodes[1] AS root FROM top WHERE len(nodes) = 1) r
 """
+
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+ORACLE_SQL["op12_ranked_lexical_search"] = f"""
+WITH doc_terms AS (SELECT doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+sizes AS (SELECT doc_id, len(terms) AS n FROM doc_terms WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM doc_terms) GROUP BY ALL),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals),
+wanted AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+lengths AS (SELECT doc_id, 100 - 25 + ((25 * n * n_docs) // n_terms) AS m FROM sizes, totals),
+scored AS (
+    SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM wanted JOIN tf USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20
+"""

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, html_text, language_id, license_scan, merkle, packing, quality_classifier, quality_rules, simhash, suffixes, url_filter)
+    decontaminate, html_text, language_id, lexical, license_scan, merkle, packing, quality_classifier, quality_rules, simhash, suffixes,
+    url_filter)
 from .oracle import ORACLE_SQL  # noqa: F401
 
 QUERIES = {}
@@ -94,6 +95,12 @@ def op1_license_scan(spark, sf_dir):
     return license_scan.scan(docs, license_scan.learn(docs))
 
 
+@query
+def op12_ranked_lexical_search(spark, sf_dir):
+    """The twenty best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 @query
 def op13_merkle_manifest(spark, sf_dir):
     """Trees of three children per source; even ids are checked with the line ends of their texts gone."""
