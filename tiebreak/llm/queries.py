@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, html_text, language_id, lexical, license_scan, merkle, packing, quality_classifier, quality_rules, simhash, suffixes,
+    decontaminate, html_text, language_id, lexical, license_scan, merkle, minhash, packing, quality_classifier, quality_rules, simhash, suffixes,
     url_filter)
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -95,6 +95,13 @@ def op1_license_scan(spark, sf_dir):
     return license_scan.scan(docs, license_scan.learn(docs))
 
 
+@query
+def op11_minhash_near_dedup(spark, sf_dir):
+    """Three-word shingles, similarity 0.85 and more; the smallest id of a component is kept."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return found.select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 @query
 def op12_ranked_lexical_search(spark, sf_dir):
     """The twenty best documents of every benchmark item."""
