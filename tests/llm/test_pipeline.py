@@ -27,8 +27,8 @@ def test_run_equals_brute_force_stage_by_stage(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
-    scores = rules(docs, good)
-    docs = {i: t for i, t in docs.items() if not scores[i][5] and scores[i][6] >= qr.THRESHOLD}
+    scores, least = rules(docs, good, qr.bucket_count(spark.read.parquet(f"{SF}/documents.parquet")))
+    docs = {i: t for i, t in docs.items() if not scores[i][5] and scores[i][6] >= least}
     root = brute_components({i: brute_fingerprint(t) for i, t in docs.items()})
     docs = {i: t for i, t in docs.items() if root[i] == i}
     _, drop = repeats(docs, 50)

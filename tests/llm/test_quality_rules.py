@@ -1,9 +1,11 @@
 import math
+import random
 import re
 from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tiebreak.llm import quality_rules as qr, queries
 
@@ -15,7 +17,7 @@ def hash_words(words):
     seed = 42
     for w in words:
         seed = xxhash.xxh64_intdigest(w.encode(), seed)
-    return (seed - (1 << 64) if seed >> 63 else seed) % qr.BUCKETS
+    return seed - (1 << 64) if seed >> 63 else seed
 
 
 def grams(text):
@@ -33,19 +35,25 @@ def base(text):
     return (*counts, len(w) < 50 or 100 * len(repeat) > 50 * len(w))
 
 
-def brute(texts, trusted):
-    target, corpus = Counter(), Counter()
-    for i, t in texts.items():
-        corpus.update(grams(t))
+def brute(texts, trusted, buckets):
+    """(base counts, llr) by id, and the threshold."""
+    found = {i: [x % buckets for x in grams(t)] for i, t in texts.items()}
+    half = {i: (hash_words([t or ""]) >> 32) % 2 for i, t in texts.items()}
+    corpus, target = Counter(), {0: Counter(), 1: Counter()}
+    for i, g in found.items():
+        corpus.update(g)
         if i in trusted:
-            target.update(grams(t))
-    share = sum(target.values()) / sum(corpus.values())
-    out = {}
-    for i, t in texts.items():
-        g = grams(t)
-        llr = sum(round(math.log((target[x] + qr.SMOOTHING) / (corpus[x] * share + qr.SMOOTHING)), 4) for x in g) / len(g) if g else 0.0
-        out[i] = (*base(t), llr)
-    return out
+            target[half[i]].update(g)
+
+    def score(g, t):
+        n, c = sum(t.values()), sum(corpus.values())
+        if not g or not n:
+            return 0.0
+        return sum(round(math.log((t[x] / n + qr.SMOOTHING) / (corpus[x] / c + qr.SMOOTHING)) * 1e6) for x in g) / 1e6 / len(g)
+    whole = target[0] + target[1]
+    apart = sorted(score(g, target[1 - half[i]]) for i, g in found.items() if i in trusted and len(g) >= 99)
+    least = math.floor(apart[int(qr.LOST * len(apart))] / qr.STEP) * qr.STEP if apart else 0.0
+    return {i: (*base(texts[i]), score(g, whole)) for i, g in found.items()}, min(0.0, least)
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -55,13 +63,15 @@ def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
-    want = brute(texts, good)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want, least = brute(texts, good, qr.bucket_count(docs))
+    assert least < 0
     rows = queries.QUERIES["op5_quality_rules"](spark, sf).collect()
     assert len(rows) == len(texts)
     for r in rows:
         assert tuple(r[c] for c in COUNTS) == want[r.doc_id][:6]
         assert r.llr == pytest.approx(want[r.doc_id][6], abs=1e-6)
-        assert r.kept == (not r.base_failed and r.llr >= qr.THRESHOLD)
+        assert r.kept == (not r.base_failed and r.llr >= least)
 
 
 def test_odd_texts_and_clashing_columns(frame, spark):
@@ -86,6 +96,49 @@ def test_texts_too_long_for_numbered_places(frame, monkeypatch):
     assert {r.doc_id: tuple(r[c] for c in COUNTS) for r in rows} == {i: base(t) for i, t in enumerate(texts)}
 
 
+def _cased(spark):
+    rng = random.Random(2)
+    word = lambda kind: f"{kind}{rng.randrange(80)}"
+    texts = [" ".join(word("good" if i % 4 else rng.choice(["good", "bad"])) for _ in range(90)) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return docs, docs.where("doc_id % 4 = 1").select("doc_id")
+
+
+def test_repeated_tables_change_no_verdict(spark):
+    docs, trusted = _cased(spark)
+    once = {r.doc_id: (r.llr, r.kept) for r in qr.quality_rules(docs, trusted).collect()}
+    assert 0 < sum(k for _, k in once.values()) < len(once)
+    ten = docs.crossJoin(spark.range(10)).drop("id")
+    many = [(r.doc_id, (r.llr, r.kept)) for r in qr.quality_rules(ten, trusted.union(trusted)).collect()]
+    assert len(many) == 10 * len(once) and all(once[i] == v for i, v in many)
+
+
+def test_kept_rows_keep_columns_of_any_name(spark):
+    docs, trusted = _cased(spark)
+    names = ["_row_key", "_id", "_key", "_text", "_words", "_next", "bucket", "b1", "b2", "llr", "id", "key", "row", "half", "m", "kept", "_trusted_id"]
+    clash = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names))
+    kept = qr.keep_good(clash, trusted)
+    assert kept.columns == clash.columns
+    good = {r.doc_id for r in qr.quality_rules(docs, trusted).where("kept").collect()}
+    rows = kept.collect()
+    assert {r.doc_id for r in rows} == good
+    assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
+def test_buckets_follow_the_corpus(spark):
+    few = spark.range(100).select(F.col("id").cast("string").alias("text"))
+    many = spark.range(100_000).select(F.col("id").cast("string").alias("text"))
+    assert qr.bucket_count(few) < qr.bucket_count(many)
+    assert qr.bucket_count(few) == qr.bucket_count(few.union(few))
+
+
+def test_filter_lets_all_trusted_ids_pass(spark):
+    ids = spark.range(5000).withColumnRenamed("id", "doc_id")
+    known = ids.where("doc_id % 7 = 0")
+    passed = ids.where(qr._can_be_trusted(known, "doc_id")).collect()
+    assert {r.doc_id for r in known.collect()} <= {r.doc_id for r in passed} and len(passed) < 800
+
+
 def test_no_python_in_the_plan(frame):
     docs = frame(["a b c d e f " * 20])
     plan = qr.quality_rules(docs, docs)._jdf.queryExecution().executedPlan().toString()
