@@ -1,7 +1,11 @@
 import html
 import re
+import time
+
+import pytest
 
 from tiebreak.llm import html_text, queries
+from tiebreak.llm.html_text import main_text
 
 MAIN = """<h1>A title &amp; more</h1><p>First   paragraph of the article,\n with some length to it.</p>
 <p>Second one, <a href=x>with a link</a> inside &mdash; and <b>bold</b> words that go on for a while.</p><ul><li>an item</li><li>another</li></ul>"""
@@ -94,3 +98,14 @@ def test_ids_from_headings_and_linked_lists_stay_in_the_article():
 def test_ids_of_headings_count_nowhere():
     inner = MAIN.replace("<h1>", "<h1 id='sponsored-search'>") + "<section id='related-work'><h2 id='social-impact'>Impact</h2><p>More words.</p></section>"
     assert html_text.main_text(page(BAD + f"<main>{inner}</main>" + TAIL)) == TEXT + "\nImpact\nMore words."
+
+
+@pytest.mark.parametrize("part", ["<a \"", "<a '", "<a ", "<a \"'", "<a \"\" ", "<p>", "<b>", "<li><p>", "<", "</", "<!--", "<article>"])
+def test_a_megabyte_of_broken_markup_ends_soon(part):
+    start = time.process_time()
+    main_text(part * (1_000_000 // len(part)))
+    assert time.process_time() - start < 10
+
+
+def test_open_quotes_are_text():
+    assert main_text('<body><p>one <a "two <b>three</b></p>') == main_text('<body><p>one &lt;a "two <b>three</b></p>')

@@ -52,9 +52,9 @@ ANCHORS = frozenset("h1 h2 h3 h4 h5 h6 p span a article".split())
 # inside an article the ids of these alone name a part
 BOXES = frozenset("div ul ol dl table".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>", re.S)
+MARKUP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)", re.S)
+TAG_PART = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -94,6 +94,51 @@ def _marked(tag, attributes, inside=False):
     return False
 
 
+class _Markup:
+    """Finds markup from any place on. A start tag ends at the first ``>`` outside quotes; without one it is text.
+
+    Each quote leads to one next ``>`` or quote, so those from which no end is reached are remembered,
+    and no place is searched twice.
+    """
+
+    def __init__(self, source):
+        self.source, self.dead = source, set()
+        # from these places on there is no quote or >, and no closing quote of a kind
+        self.bare, self.unclosed = len(source), {'"': len(source), "'": len(source)}
+
+    def next(self, at):
+        """(start, end, end tag, start tag, attributes) of the first markup from ``at``, or None."""
+        while m := MARKUP.search(self.source, at):
+            if not m[2]:
+                return m.start(), m.end(), m[1], None, ""
+            end = self._end(m.end())
+            if end:
+                return m.start(), end, None, m[2], self.source[m.end(): end - 1]
+            at = m.end()
+        return None
+
+    def _end(self, at):
+        path = []
+        while at < self.bare:
+            part = TAG_PART.search(self.source, at)
+            if part is None:
+                self.bare = at
+                break
+            here, kind = part.start(), part[0]
+            if kind == ">":
+                return here + 1
+            if here in self.dead or here >= self.unclosed[kind]:
+                break
+            path.append(here)
+            close = self.source.find(kind, here + 1)
+            if close < 0:
+                self.unclosed[kind] = here
+                break
+            at = close + 1
+        self.dead.update(path)
+        return None
+
+
 class Page:
     """Elements in the order they open: parent, tag, mark; and the texts with the element they lie in."""
 
@@ -111,22 +156,20 @@ class Page:
                 if self.tag[top] == tag:
                     return
 
-        at, n = 0, len(source)
-        while at < n:
-            m = TOKEN.search(source, at)
-            if m is None:
-                break
-            if m.start() > end:
-                self.texts.append((stack[-1], source[end: m.start()]))
-            at = end = m.end()
-            if m[1]:
-                tag = m[1].lower()
+        n, markup = len(source), _Markup(source)
+        while found := markup.next(end):
+            first, last, closing, opening, attributes = found
+            if first > end:
+                self.texts.append((stack[-1], source[end: first]))
+            end = last
+            if closing:
+                tag = closing.lower()
                 if open_tags.get(tag):
                     close(tag)
                 elif tag == "br":
                     self.texts.append((stack[-1], " "))
-            elif m[2]:
-                tag = m[2].lower()
+            elif opening:
+                tag = opening.lower()
                 for old in CLOSES.get(tag, ()):
                     if open_tags.get(old):
                         holds = HOLDS[old]
@@ -142,12 +185,12 @@ class Page:
                     self.texts.append((stack[-1], " "))
                 self.tag.append(tag)
                 self.parent.append(stack[-1])
-                self.marked.append(_marked(tag, m[3], inside=bool(open_tags.get("article"))))
+                self.marked.append(_marked(tag, attributes, inside=bool(open_tags.get("article"))))
                 if tag in RAW:
                     stop = re.compile("</" + tag + r"(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(source, end)
                     self.texts.append((len(self.tag) - 1, source[end: stop.start()]))
-                    at = end = stop.end()
-                elif tag not in VOID and not m[3].endswith("/"):
+                    end = stop.end()
+                elif tag not in VOID and not attributes.endswith("/"):
                     stack.append(len(self.tag) - 1)
                     open_tags[tag] = open_tags.get(tag, 0) + 1
         if end < n:
@@ -231,17 +274,12 @@ def main_text(source):
     for i in range(n):
         if not gone[i] and chars[i] and density[i] >= least:
             content[best[i]] = True
-    whole = None
+    outermost = [None] * n
+    for i in range(1, n):
+        outermost[i] = outermost[parent[i]] or (i if tag[i] == "article" else None)
     for i in range(n):
-        if content[i]:
-            at = i
-            while at > 0:
-                if tag[at] == "article":
-                    whole = at
-                at = parent[at]
-            if whole is not None:
-                content[whole] = True
-                whole = None
+        if content[i] and outermost[i]:
+            content[outermost[i]] = True
     # the title of what follows: a top heading beside the content or beside what holds it
     path, at = set(), top
     while at >= 0:
