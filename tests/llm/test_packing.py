@@ -1,7 +1,10 @@
 import random
+import re
 from collections import defaultdict
 from itertools import combinations
 
+import pytest
+
 from tiebreak.llm import packing, queries
 
 from .conftest import ODD_TEXTS
@@ -65,3 +68,20 @@ def test_small_pieces_odd_texts_and_empty_tables(frame):
     assert packing.pack(docs.limit(0)).collect() == []
     twice = packing.pack(docs.union(docs), max_length=16, batch_tokens=64).collect()
     assert len(twice) == 2 * len(rows)
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "\t \n" * 500_000 + "end", "x" + "\u3000" * 100_000 + "'s y"])
+def test_very_long_runs(spark, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = packing.pack(docs).collect()
+    assert sum(r.n_tokens for r in rows) == packing.n_tokens(text) > 0
+
+
+def test_long_runs_are_split_like_short_ones(monkeypatch):
+    """With every run of blanks taken as long, the tokens are those of the whole text."""
+    rng = random.Random(4)
+    plain = packing.encoding(packing.TOKENIZER).encode_ordinary
+    texts = ["".join(rng.choice([" ", "  ", "\n", "\r\n", "\t", "\xa0", "a", "word", "'s", "12", "...", "é", "\x1f"]) for _ in range(rng.randint(1, 30)))
+             for _ in range(3000)]
+    monkeypatch.setattr(packing, "LONG_RUN", re.compile(f"[{packing.BLANK}]+"))
+    assert [packing.n_tokens(t) for t in texts] == [len(plain(t)) for t in texts]

@@ -1,6 +1,7 @@
 """Packing: length buckets of least padding, and token-budget batches inside each."""
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public split pattern of that vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MAX_LENGTH, BUCKETS, BATCH_TOKENS = 2048, 8, 65536
+# The characters that \s means in that pattern (the White_Space property).
+BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# the pattern looks ahead from each blank of a run, which overflows the stack of the tokenizer on runs much longer than this
+LONG_RUN = re.compile(f"[{BLANK}]{{1000,}}")
 
 _encodings = {}
 
@@ -31,11 +36,31 @@ def encoding(path, pattern=PATTERN):
     return _encodings[path, pattern]
 
 
+def n_tokens(text, path=TOKENIZER, pattern=PATTERN):
+    """Tokens of a text; null and empty have none.
+
+    The pattern makes one piece of a run of blanks up to the last one, which goes with the word behind, and of all of
+    the run at the end of the text. Long runs are encoded as such pieces, by themselves; what lies between
+    is split as it would be beside them.
+    """
+    if not text:
+        return 0
+    coder = encoding(path, pattern)
+    if pattern != PATTERN or not LONG_RUN.search(text):
+        return len(coder.encode_ordinary(text))
+    n = at = 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        n += len(coder.encode_ordinary(text[at: run.start()]))
+        n += len(coder._encode_single_piece(text[run.start(): end])) if end > run.start() else 0
+        at = end
+    return n + len(coder.encode_ordinary(text[at:]))
+
+
 def _lengths(path, pattern):
     def run(batches):
-        count = encoding(path, pattern).encode_ordinary
         for batch in batches:
-            n = [len(count(t)) if t else 0 for t in (x.as_py() for x in batch.column("text"))]
+            n = [n_tokens(x.as_py(), path, pattern) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64())], ["doc_id", "text_key", "n"])
     return run
@@ -80,7 +105,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN, ma
     max(1, batch_tokens // bucket_length) slots; only the last batch of a bucket may
     have slots free. Ranks come from sizes of hash ranges, so no task holds a bucket.
 
-    Null or empty texts have no piece. Null ids and repeated rows are packed like others.
+    Null or empty texts have no piece, very long texts and runs of blanks as many as any tokens. Null ids and repeated rows are packed like others.
     An empty table gives no row; other columns are ignored.
     """
     tables = Stored(docs.sparkSession, "packing")
