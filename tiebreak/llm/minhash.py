@@ -6,13 +6,12 @@ the posterior probability that it reaches the threshold is below ``miss``. What
 
 No bucket lists its pairs. First every member of a bucket is compared with one of them, the pivot: a group of near copies
 is linked by that, however large. Only buckets whose members are still apart go on: their members outside the pivot's component
-are compared with all, in blocks of bounded size that are dealt out by themselves.
+are compared with all, in blocks of bounded size that are dealt out by themselves and pass on no more links than join components.
 """
 
-import math
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,47 +125,78 @@ def least_matches(threshold, miss=MISS, batch=BATCH, batches=BATCHES):
 
 def _bytes(column):
     """The comparable bytes of a column of signatures, a row each."""
-    whole = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
-    return whole.reshape(len(column), -1)[:, 8 * BANDS:]
+    return _whole(column)[:, 8 * BANDS:]
+
+
+def _whole(column):
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 def survivors(x, y, needed):
-    """Numbers of the rows of ``x`` and ``y`` that keep the needed matches batch after batch."""
+    """(numbers, matches) of the rows of ``x`` and ``y`` that keep the needed matches batch after batch."""
     live, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
     for i, least in enumerate(needed):
         at = slice(i * BATCH, (i + 1) * BATCH)
         matches = matches + (x[live, at] == y[live, at]).sum(1)
         keep = matches >= least
         live, matches = live[keep], matches[keep]
-    return live
+    return live, matches
 
 
 def _prune(needed):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                live = pa.array(survivors(_bytes(batch.column("sa")), _bytes(batch.column("sb")), needed))
+                live = pa.array(survivors(_bytes(batch.column("sa")), _bytes(batch.column("sb")), needed)[0])
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(live), batch.column("b").take(live)], ["a", "b"])
     return run
 
 
-def _apart(needed):
-    """Of rows sorted by (bucket, block): pairs of an outsider and a member, not in one component, that survive the comparison."""
-    def pairs(group):
-        outside = group.column("outside").to_numpy(zero_copy_only=False)
-        o, m = np.flatnonzero(outside), np.flatnonzero(~outside)
-        node, root = group.column("node").to_numpy(), group.column("root").to_numpy()
-        low = _bytes(group.column("signature"))
-        for i in o:
-            other = m[root[m] != root[i]]
-            found = other[survivors(np.broadcast_to(low[i], (len(other), low.shape[1])), low[other], needed)]
-            yield np.minimum(node[i], node[found]), np.maximum(node[i], node[found])
+def _joining(group, percent, needed):
+    """Confirmed links that join the components of a block: outsiders with members, most similar first.
+
+    A pair is left out if one link already joins its components, if a lower band has it in a bucket, if the sizes
+    of the sets forbid the similarity, or if the comparison drops it.
+    """
+    outside = group.column("outside").to_numpy(zero_copy_only=False)
+    others, members = np.flatnonzero(outside), np.flatnonzero(~outside)
+    if not len(others) or not len(members):
+        return
+    node, root, band = group.column("node").to_numpy(), group.column("root").to_numpy(), group.column("band")[0].as_py()
+    whole = _whole(group.column("signature"))
+    bands, low = np.ascontiguousarray(whole[:, : 8 * band]).view(np.uint64), whole[:, 8 * BANDS:]
+    lists = group.column("shingles")
+    sets, at = pc.list_flatten(lists).to_numpy().view(np.uint64), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+    size = np.diff(at)
+    joined = {}
+
+    def find(x):
+        while x in joined:
+            x = joined[x]
+        return x
+    for i in others:
+        m = members[root[members] != root[i]]
+        m = m[100 * np.minimum(size[m], size[i]) >= percent * np.maximum(size[m], size[i])]
+        m = m[~(bands[m] == bands[i]).any(1)]
+        live, matches = survivors(np.broadcast_to(low[i], (len(m), low.shape[1])), low[m], needed)
+        own = sets[at[i]: at[i + 1]]
+        for j in m[live[np.argsort(-matches, kind="stable")]]:
+            a, b = find(root[i]), find(root[j])
+            if a == b:
+                continue
+            other = sets[at[j]: at[j + 1]]
+            place = np.minimum(np.searchsorted(own, other), len(own) - 1)
+            shared = int((own[place] == other).sum())
+            if 100 * shared >= percent * (len(own) + len(other) - shared):
+                joined[a] = b
+                yield min(node[i], node[j]), max(node[i], node[j])
+
 
+def _apart(percent, needed):
+    """Of rows sorted by (bucket, block): the links of each block."""
     def emit(groups):
-        found = [p for g in groups for p in pairs(g)]
-        a = np.concatenate([p[0] for p in found]) if found else np.zeros(0, np.int64)
-        b = np.concatenate([p[1] for p in found]) if found else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        found = np.array([p for g in groups for p in _joining(g, percent, needed)], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     def run(batches):
         held = None
@@ -174,7 +204,7 @@ def _apart(needed):
             if not batch.num_rows:
                 continue
             if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+                batch = pa.concat_batches([held, batch])
             key = np.stack([batch.column(c).to_numpy() for c in ("v", "o_block", "m_block")])
             cuts = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, batch.num_rows]
             held = batch.slice(cuts[-2])
@@ -184,8 +214,9 @@ def _apart(needed):
     return run
 
 
-def _blocks(n):
-    return F.ceil(n / F.lit(BLOCK)).cast("int")
+def _blocks(n, shingles):
+    """Blocks for ``n`` members with so many shingles in all."""
+    return F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(shingles / F.lit(BLOCK << 10))).cast("int")
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, miss: float = MISS, id_col="doc_id", text_col="text") -> DataFrame:
@@ -226,8 +257,8 @@ def _links(texts, nodes, k, percent, needed, tables):
     """(a, b): links that connect what is similar, all of them confirmed."""
     pair = "a long, b long"
     signatures = nodes.select("node", "signature")
-    bands = nodes.select("node", F.explode(F.array(*(
-        F.xxhash64(F.lit(i), F.substring("signature", 8 * i + 1, 8)) for i in range(BANDS)))).alias("v"))
+    bands = nodes.select("node", "n_shingles", F.posexplode(F.array(*(
+        F.xxhash64(F.lit(i), F.substring("signature", 8 * i + 1, 8)) for i in range(BANDS)))).alias("band", "v"))
     busy = tables.write(bands.groupBy("v").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1"), "busy")
     # a fixed kind of join, whatever the sizes: none of these sides has a bound
     members = tables.write(bands.join(busy.hint("merge"), "v"), "members")
@@ -252,25 +283,27 @@ def _links(texts, nodes, k, percent, needed, tables):
     links = tables.write(confirmed(near), "links")
     roots = connected(links, tables)
     placed = tables.write(
-        members.where("n > 2").join(roots, "node", "left").select("v", "node", "pivot", F.coalesce("root", "node").alias("root")), "placed")
+        members.where("n > 2").join(roots, "node", "left").select(
+            "v", "band", "node", "n_shingles", "pivot", F.coalesce("root", "node").alias("root")), "placed")
     mixed = tables.write(placed.groupBy("v").agg(
         F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"),
         F.max(F.when(F.col("node") == F.col("pivot"), F.col("root"))).alias("main")).where("low <> high"), "mixed")
-    others = placed.where("node <> pivot").join(mixed.hint("merge"), "v")
-    crowd = tables.write(
-        others.groupBy("v").agg(F.count("*").alias("n_members"), F.count_if(F.col("root") != F.col("main")).alias("n_outside")), "crowd")
+    others = placed.where("node <> pivot").join(mixed.hint("merge"), "v").withColumn("outside", F.col("root") != F.col("main"))
+    outsiders = F.when(F.col("outside"), F.col("n_shingles")).otherwise(0)
+    crowd = tables.write(others.groupBy("v").agg(
+        _blocks(F.count("*"), F.sum("n_shingles")).alias("m_blocks"), _blocks(F.count_if("outside"), F.sum(outsiders)).alias("o_blocks")), "crowd")
     tables.drop(near, members, busy)
-    dealt = others.join(crowd.hint("merge"), "v").join(signatures.hint("merge"), "node").select(
-        "v", "node", "root", "main", "signature", _blocks(F.col("n_members")).alias("m_blocks"), _blocks(F.col("n_outside")).alias("o_blocks"))
-    own = F.xxhash64("node", F.lit(1))
-    columns = ["v", "o_block", "m_block", "outside", "node", "root", "signature"]
-    outside = dealt.where("root <> main").withColumn("outside", F.lit(True)).withColumn(
-        "o_block", F.pmod(own, F.col("o_blocks")).cast("int")).withColumn("m_block", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)))
-    inside = dealt.withColumn("outside", F.lit(False)).withColumn("m_block", F.pmod(own, F.col("m_blocks")).cast("int")).withColumn(
-        "o_block", F.explode(F.sequence(F.lit(0), F.col("o_blocks") - 1)))
+    # an outsider meets every block of members, and every member every block of outsiders, each once
+    own, block = F.xxhash64("node", F.lit(1)), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    one = lambda n: F.array(F.pmod(own, F.col(n)).cast("int"))
+    dealt = others.join(crowd.hint("merge"), "v")
+    parts = [
+        dealt.where("outside").select("*", one("o_blocks").alias("os"), block("m_blocks").alias("ms")),
+        dealt.withColumn("outside", F.lit(False)).select("*", block("o_blocks").alias("os"), one("m_blocks").alias("ms"))]
     keys = ["v", "o_block", "m_block"]
-    rows = outside.select(*columns).unionByName(inside.select(*columns)).repartition(*keys).sortWithinPartitions(*keys)
-    rest = tables.write(rows.mapInArrow(_apart(needed), pair).distinct(), "rest")
-    more = tables.write(links.union(confirmed(rest)), "links")
-    tables.drop(placed, mixed, crowd, rest, sets, links)
+    rows = parts[0].unionByName(parts[1]).withColumn("o_block", F.explode("os")).withColumn("m_block", F.explode("ms")).select(
+        *keys, "band", "outside", "node", "root").join(signatures.hint("merge"), "node").join(sets.hint("merge"), "node")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+    more = tables.write(links.union(rows.mapInArrow(_apart(percent, needed), pair)), "links")
+    tables.drop(placed, mixed, crowd, sets, links)
     return more
