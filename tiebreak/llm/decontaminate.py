@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tiebreak.session import Stored
 
-from .simhash import text_key
+from .simhash import row_key, text_key
 from .textarrays import LOWER, NO_ALNUM, arrow_schema, chunks, mix, runs, word_hashes, words
 
 # Which of the words of a window count, per seed: 7 of up to 11. One substituted word in any
@@ -265,9 +265,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 12, identit
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
-    """``docs`` without the rows whose text overlaps an item; all columns stay."""
+    """``docs`` without the rows whose text overlaps an item; all columns stay, whatever their names.
+
+    Rows that repeat an id and its text go or stay together. Null and empty texts stay, null ids are ids like any other,
+    an empty table gives no row.
+    """
     hit = overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(
-        F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key")).distinct()
-    keyed = docs.withColumn("_key", text_key(text_col))
-    match = keyed[id_col].eqNullSafe(hit["_hit_id"]) & (keyed["_key"] == hit["_hit_key"])
-    return keyed.join(hit, match, "left_anti").select(*docs.columns)
+        F.struct("doc_id", "text_key").alias("hit")).distinct()
+    # the row is one column, so no name of its own can clash
+    rows = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key"))
+    return rows.join(hit.hint("merge"), F.col("key") == F.col("hit"), "left_anti").select("row.*")

@@ -241,17 +241,29 @@ def hex_fingerprint(fp="fp"):
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 4, bits: int = 4, id_col="doc_id", text_col="text") -> DataFrame:
-    """``docs`` with one row per near-duplicate group: that of the smallest id.
+    """``docs`` with one row per near-duplicate group: that of the smallest id, with all its columns, whatever their names.
 
-    Of several rows under that id in the group one stays. A row without an id stays
-    only if no row of its group has one. Repeated rows go.
+    Of several texts under that id in the group one stays, of several rows with that id and text the one whose columns
+    hash lowest. A row without an id stays only if no row of its group has one. Null and empty texts are a group like
+    any other, an empty table gives no row. Which row stays is decided on keys; the texts are shuffled once.
     """
     found = near_duplicates(docs, k, bits, id_col=id_col, text_col=text_col)
     kept = (
         found.where("doc_id <=> component_id").groupBy("component")
-        .agg(F.first("doc_id").alias("_kept_id"), F.min("text_key").alias("_kept_key"))
-        .select("_kept_id", "_kept_key"))
-    columns = docs.columns
-    keyed = docs.withColumn("_kept_key", text_key(text_col))
-    match = (keyed[id_col].eqNullSafe(kept["_kept_id"])) & (keyed["_kept_key"] == kept["_kept_key"])
-    return keyed.join(kept, match, "left_semi").dropDuplicates([id_col, "_kept_key"]).select(*columns)
+        .agg(F.first("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"))
+        .select(F.struct("doc_id", "text_key").alias("kept")))
+    return _first_of_each(docs, kept, id_col, text_col)
+
+
+def row_key(id_col="doc_id", text_col="text"):
+    """Id and text of a row as one column, never null, to join and group by."""
+    return F.struct(F.col(id_col).alias("doc_id"), text_key(text_col).alias("text_key"))
+
+
+def _first_of_each(docs, kept, id_col, text_col):
+    """The rows of ``docs`` under the keys of ``kept``, one each."""
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    # the row is one column, so no name of its own can clash; both steps use the partitions of the join
+    rows = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key"), F.xxhash64(*hashed).alias("order"))
+    joined = rows.join(kept.hint("merge"), F.col("key") == F.col("kept"), "left_semi")
+    return joined.groupBy("key").agg(F.min_by("row", "order").alias("row")).select("row.*")

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tiebreak.session import Stored
 
-from .simhash import text_key
+from .simhash import row_key, text_key
 from .textarrays import MIX1, arrow_schema, chunks, mix, rolling, runs, word_hashes, words
 
 MIN_WORDS, KEY_WORDS, GRAM_WORDS = 50, 16, 8
@@ -228,37 +228,34 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, key_words: in
     return passages
 
 
-def _cut(columns):
-    def run(batches):
-        for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            for i, spans in enumerate(batch.column("_spans").to_pylist()):
-                if spans:
-                    raw = texts[i].encode()
-                    data, offsets = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
-                    starts, ends, _ = words(data, offsets)
-                    keep = np.ones(len(raw), bool)
-                    for s in spans:
-                        keep[starts[s["first_word"]]: ends[s["first_word"] + s["n_words"] - 1]] = False
-                    texts[i] = data[keep].tobytes().decode()
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(texts, batch.column("_text").type)], [*columns, "_text"])
-    return run
+def _cut(batches):
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for i, spans in enumerate(batch.column("spans").to_pylist()):
+            if spans:
+                raw = texts[i].encode()
+                data, offsets = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+                starts, ends, _ = words(data, offsets)
+                keep = np.ones(len(raw), bool)
+                for s in spans:
+                    keep[starts[s["first_word"]]: ends[s["first_word"] + s["n_words"] - 1]] = False
+                texts[i] = data[keep].tobytes().decode()
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, batch.column("text").type)], ["row", "text"])
 
 
 def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col="doc_id", text_col="text") -> DataFrame:
     """``docs`` with the dropped passages of ``repeated_passages`` cut out of their texts.
 
-    All rows and columns stay; each passage stays in its first place. Rows that repeat an
-    id and its text are cut alike. White space round a passage stays.
+    All rows and columns stay, whatever their names; each passage stays in its first place. Rows that repeat an
+    id and its text are cut alike. White space round a passage stays. Null and empty texts stay as they are, null ids
+    are ids like any other, an empty table gives no row.
     """
     cuts = (
         repeated_passages(docs, min_words, id_col=id_col, text_col=text_col).where("dropped")
-        .groupBy(F.col("doc_id").alias("_cut_id"), F.col("text_key").alias("_cut_key"))
-        .agg(F.collect_list(F.struct("first_word", "n_words")).alias("_spans")))
-    keyed = docs.withColumn("_key", text_key(text_col)).withColumnRenamed(text_col, "_text")
-    joined = keyed.join(cuts, keyed[id_col].eqNullSafe(cuts["_cut_id"]) & (keyed["_key"] == cuts["_cut_key"]), "left")
+        .groupBy(F.struct("doc_id", "text_key").alias("cut")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("spans")))
+    # the other columns are one column, so no name of theirs can clash
     others = [c for c in docs.columns if c != text_col]
-    schema = T.StructType([*(docs.schema[c] for c in others), T.StructField("_text", docs.schema[text_col].dataType)])
-    done = joined.select(*others, "_text", "_spans").mapInArrow(_cut(others), schema)
-    return done.withColumnRenamed("_text", text_col).select(*docs.columns)
+    rows = docs.select(F.struct(*others).alias("row"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
+    joined = rows.join(cuts.hint("merge"), F.col("key") == F.col("cut"), "left").select("row", "text", "spans")
+    done = joined.mapInArrow(_cut, T.StructType([joined.schema["row"], joined.schema["text"]]))
+    return done.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
