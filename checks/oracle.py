@@ -539,6 +539,12 @@ oracle("rf_baseline_accuracy", TRAINING, "select cast(ceil(count(*) * 0.2e0) as
 oracle("gbt_accuracy", TRAINING, "select cast(ceil(count(*) * 0.2e0) as bigint) as holdout_rows, true as useful from training")
 oracle("fitted_model_comparison", "", "select true as baseline_useful, true as model_useful, true as gain_fits")
 oracle("feature_importances", "", "select cast(14 as bigint) as features, true as adds_up, true as none_negative")
+TRAIN_ROWS = "cast(count(*) - ceil(count(*) * 0.2e0) as bigint) as train_rows"
+oracle("random_search_table", TRAINING, f"""select {TRAIN_ROWS}, cast(5 as bigint) as combinations, cast(5 as bigint) as different,
+  true as in_range, true as useful, true as best_chosen from training""")
+oracle("refit_best", TRAINING, "select cast(ceil(count(*) * 0.2e0) as bigint) as holdout_rows, 0.0e0 as moved from training")
+oracle("cv_fitted_mean_std", TRAINING, f"""select cast(5 as bigint) as folds, {TRAIN_ROWS}, true as mean_fits, true as std_fits, true as useful
+  from training""")
 oracle("model_roundtrip_score", TRAINING, "select cast(ceil(count(*) * 0.2e0) as bigint) as holdout_rows, 0.0e0 as moved from training")
 oracle("stored_model_reused", TRAINING, "select cast(ceil(count(*) * 0.2e0) as bigint) as holdout_rows, cast(1 as int) as trained from training")
 oracle("score_fixtures_model", "", "select count(*) as teams, 180.0e0 as points, cast(1 as int) as best, cast(count(*) as int) as last from roster")

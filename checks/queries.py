@@ -12,7 +12,7 @@ from tiebreak.plans.forecast import forecast, history
 from tiebreak.plans.live import live_feed
 from tiebreak.plans.training import fit, predictions, prepare
 from tiebreak.schemas import FEATURE_COLS, LABEL_COL
-from tiebreak.session import materialize, scratch_path
+from tiebreak.session import checkpoint_root, materialize, scratch_path
 from tiebreak.sources import feed as feed_source
 from tiebreak.sources.models import ModelBundle, load_bundle, load_or_train, save_bundle
 from tiebreak.sources.tables import load_matches, normalize_columns, read_table, write_table
@@ -515,6 +515,55 @@ def fitted_model_comparison(spark, sf):
                     (F.abs(F.col("improvement_points") - gain) < 1e-6).alias("gain_fits"))
 
 
+# the shape of the quick grid, 16 combinations, with a tenth of its trees: a fit of the quick grid itself takes minutes
+SEARCH_GRID = {"n_estimators": [10, 20], "max_depth": [2, 3], "learning_rate": [0.1, 0.2], "subsample": [0.8, 1.0]}
+
+
+def _fold_vectors(spark, sf, folds):
+    """Training vectors with their folds, stored, and the hold-out rows."""
+    checkpoint_root(spark)
+    train, test = _train_test(spark, sf)
+    return materialize(ms.feature_vector(ms.stratified_folds(train, ["match_id"], folds=folds)), "vectors"), test
+
+
+@query
+def random_search_table(spark, sf):
+    """Five of sixteen combinations, five folds each, on all training rows: what must hold of their scores."""
+    vectors, _ = _fold_vectors(spark, sf, 5)
+    found = ms.random_search(vectors, SEARCH_GRID, n_iter=5, folds=5, parallelism=8)
+    chosen = F.lit(True)
+    for name, value in found.best_params.items():
+        chosen = chosen & (F.col("params")[name] == str(value))
+    mean, rows = F.col("mean_accuracy"), vectors.count()
+    return found.table.agg(
+        F.lit(rows).cast("bigint").alias("train_rows"), F.count("*").alias("combinations"), F.count_distinct(F.to_json("params")).alias("different"),
+        F.bool_and((mean >= 0) & (mean <= 1) & (F.col("std_accuracy") >= 0)).alias("in_range"),
+        (F.max(mean) > 0.55).alias("useful"), (F.max(F.when(chosen, mean)) == F.max(mean)).alias("best_chosen"))
+
+
+@query
+def refit_best(spark, sf):
+    """How far the best model of a search is from a fit of its parameters on all training rows: not at all."""
+    vectors, test = _fold_vectors(spark, sf, 2)
+    found = ms.random_search(vectors, SEARCH_GRID, n_iter=2, folds=2, parallelism=4)
+    direct = ms.boosted_trees(found.best_params).fit(ms.in_layout(vectors, ["match_id"]))
+    rows = ms.feature_vector(test)
+    p = [m.transform(rows).select("match_id", vector_to_array("probability")[1].alias(c)) for m, c in ((found.model, "best"), (direct, "direct"))]
+    return p[0].join(p[1], "match_id").agg(
+        F.count("*").alias("holdout_rows"), F.max(F.abs(F.col("best") - F.col("direct"))).alias("moved"))
+
+
+@query
+def cv_fitted_mean_std(spark, sf):
+    """Accuracies of five fitted folds as rows; mean and deviation of the tuner are those of the rows."""
+    vectors, _ = _fold_vectors(spark, sf, 5)
+    folds, mean, std = ms.cross_val_folds(vectors, {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.2}, parallelism=5)
+    acc = F.col("accuracy")
+    return folds.agg(
+        F.count("*").alias("folds"), F.sum("matches").alias("train_rows"), (F.abs(F.avg(acc) - mean) < 1e-12).alias("mean_fits"),
+        (F.abs(F.stddev_pop(acc) - std) < 1e-12).alias("std_fits"), (F.min(acc) > 0.55).alias("useful"))
+
+
 @query
 def feature_importances(spark, sf):
     found = evaluation.feature_importances(spark, _fitted(spark, sf)[3].stages[-1])

@@ -132,3 +132,26 @@ def test_models_do_not_depend_on_the_layout_of_their_input(spark, training, rows
     for estimator in (ms.random_forest(5, 4), ms.boosted_trees({"n_estimators": 4, "subsample": 0.8})):
         got = [rows(ev.model_scorer(fit(estimator, training.repartition(n, F.rand(n))))(training), "match_id", "p1") for n in (2, 8)]
         assert got[0] == got[1]
+
+
+def test_layout_follows_the_rows_alone(spark, training, rows):
+    """Partitions grow with the rows, and the same rows in any partitions give the same model."""
+    assert ms.in_layout(training, ["match_id"]).rdd.getNumPartitions() == 1
+    assert ms.in_layout(training, ["match_id"], partition_rows=100).rdd.getNumPartitions() == 6
+    vectors = ms.feature_vector(training)
+    for estimator in (ms.random_forest(5, 4), ms.boosted_trees({"n_estimators": 4, "subsample": 0.8})):
+        got = [rows(estimator.fit(ms.in_layout(vectors.repartition(n, F.rand(n)), ["match_id"], 100)).transform(vectors).select("match_id", "prediction"))
+               for n in (2, 8)]
+        assert got[0] == got[1]
+
+
+def test_cross_validated_rows_give_the_mean_and_deviation(spark, training):
+    vectors = ms.feature_vector(ms.stratified_folds(ms.with_shuffle_key(training, ["match_id"]), ["match_id"], folds=3)).persist()
+    params = {"n_estimators": 3, "max_depth": 2}
+    folds, mean, std = ms.cross_val_folds(vectors, params, folds=3)
+    found = sorted(tuple(r) for r in folds.collect())
+    assert [n for _, n, _ in found] == [200, 200, 200]
+    again = ev.cv_mean_std(folds).first()
+    assert abs(again.cv_mean - mean) < 1e-12 and abs(again.cv_std - std) < 1e-12
+    assert ms.cross_val_accuracy(vectors, params, folds=3) == (mean, std)
+    vectors.unpersist()

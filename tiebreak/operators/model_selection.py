@@ -2,6 +2,7 @@
 
 import random
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -128,18 +129,20 @@ def sample_params(space, n, seed=SEED):
     return combos
 
 
-#: Partitions of the training rows. Trees draw their rows by partition, so the number is part of the
-#: model, like the seed; it must not follow the cluster. Raise it with the data: about 128 MB of vectors each.
-LAYOUT = 16
+#: Training rows of a partition. Trees draw their rows by partition, so the number of partitions is part of the
+#: model, like the seed: it follows the rows and not the cluster.
+LAYOUT_ROWS = 50_000
 
 
-def in_layout(rows: DataFrame, ids, partitions=LAYOUT) -> DataFrame:
-    """Training rows, stored, in partitions that depend on ``ids`` and ``partitions`` alone.
+def in_layout(rows: DataFrame, ids, partition_rows=LAYOUT_ROWS) -> DataFrame:
+    """Training rows, stored, in partitions that depend on the rows, ``ids`` and ``partition_rows`` alone.
 
     Rows are cut by the hash of the ids and sorted by them, so the same rows give the same model
-    on any cluster, whatever files or tasks they come from.
+    on any cluster, whatever files or tasks they come from. The number of partitions grows with the stored
+    table, whose rows the files' footers count.
     """
     stored = materialize(rows, "training")
+    partitions = max(1, -(-stored.count() // partition_rows))
     return stored.repartition(partitions, *ids).sortWithinPartitions(*ids)
 
 
@@ -182,6 +185,22 @@ def random_search(train: DataFrame, space, n_iter=30, folds=5, seed=SEED, parall
     return SearchResult(fitted.bestModel, combos[best], table)
 
 
+def cross_val_folds(rows: DataFrame, params=None, folds=5, seed=SEED, parallelism=2, label=LABEL_COL, ids=("match_id",)):
+    """(rows per fold with their accuracy, mean, population standard deviation) of fits on the other folds.
+
+    The rows (fold, matches, accuracy) are what the models of the folds score, as one table; mean and deviation
+    are those of the tuner. At most ``folds`` models are held.
+    """
+    search = CrossValidator(estimator=boosted_trees(params, seed, label), estimatorParamMaps=[{}],
+                            evaluator=accuracy_evaluator(label), numFolds=folds, foldCol="fold",
+                            parallelism=parallelism, collectSubModels=True)
+    fitted = _fit_on_cached(search, rows, ids)
+    hit = (F.col("prediction") == F.col(label)).cast("int")
+    scored = [models[0].transform(rows.where(F.col("fold") == i)).select("fold", hit.alias("hit")) for i, models in enumerate(fitted.subModels)]
+    table = reduce(DataFrame.union, scored).groupBy("fold").agg(F.count("*").alias("matches"), F.avg("hit").alias("accuracy"))
+    return table, float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])
+
+
 def cross_val_accuracy(rows: DataFrame, params=None, folds=5, seed=SEED, parallelism=2, label=LABEL_COL,
                        ids=("match_id",)):
     """(mean, population standard deviation) of the accuracy over the folds."""
