@@ -149,3 +149,11 @@ def test_signatures_estimate_similarity():
     a, b = shingles(" ".join(base)), shingles(" ".join(near))
     equal = (signature[0, 160:] == signature[1, 160:]).mean()
     assert abs(equal - len(a & b) / len(a | b)) < 0.16
+
+
+def test_inverted_sets_intersect():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(30)]
+    inverted = minhash._Inverted(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])])
+    for s in [*sets, np.array([70], np.uint64), np.array([5, 65], np.uint64)]:
+        assert inverted.shared(s).tolist() == [len(np.intersect1d(s, t)) for t in sets]

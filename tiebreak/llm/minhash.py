@@ -152,44 +152,55 @@ def _prune(needed):
     return run
 
 
+class _Inverted:
+    """Which of some sets hold a shingle, to intersect one set with all of them at once."""
+
+    def __init__(self, sets, bounds):
+        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        order = np.argsort(sets, kind="stable")
+        self.owner, self.n = owner[order], len(bounds) - 1
+        self.shingles, first = np.unique(sets[order], return_index=True)
+        self.first = np.r_[first, len(sets)]
+
+    def shared(self, own):
+        """The size of the intersection of ``own`` with each set."""
+        at = np.minimum(np.searchsorted(self.shingles, own), len(self.shingles) - 1)
+        at = at[self.shingles[at] == own]
+        held = [self.owner[self.first[i]: self.first[i + 1]] for i in at]
+        return np.bincount(np.concatenate(held), minlength=self.n) if held else np.zeros(self.n, np.int64)
+
+
 def _joining(group, percent, needed):
-    """Confirmed links that join the components of a block: outsiders with members, most similar first.
+    """Confirmed links that join the components of a block, one for each two components and outsider.
 
-    A pair is left out if one link already joins its components, if a lower band has it in a bucket, if the sizes
+    A pair is left out if links already join its components, if a lower band has it in a bucket, if the sizes
     of the sets forbid the similarity, or if the comparison drops it.
     """
     outside = group.column("outside").to_numpy(zero_copy_only=False)
     others, members = np.flatnonzero(outside), np.flatnonzero(~outside)
     if not len(others) or not len(members):
         return
-    node, root, band = group.column("node").to_numpy(), group.column("root").to_numpy(), group.column("band")[0].as_py()
+    node, band = group.column("node").to_numpy(), group.column("band")[0].as_py()
+    label = np.unique(group.column("root").to_numpy(), return_inverse=True)[1]
     whole = _whole(group.column("signature"))
     bands, low = np.ascontiguousarray(whole[:, : 8 * band]).view(np.uint64), whole[:, 8 * BANDS:]
     lists = group.column("shingles")
     sets, at = pc.list_flatten(lists).to_numpy().view(np.uint64), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
-    size = np.diff(at)
-    joined = {}
-
-    def find(x):
-        while x in joined:
-            x = joined[x]
-        return x
+    size, inverted = np.diff(at), None
     for i in others:
-        m = members[root[members] != root[i]]
+        m = members[label[members] != label[i]]
         m = m[100 * np.minimum(size[m], size[i]) >= percent * np.maximum(size[m], size[i])]
         m = m[~(bands[m] == bands[i]).any(1)]
-        live, matches = survivors(np.broadcast_to(low[i], (len(m), low.shape[1])), low[m], needed)
-        own = sets[at[i]: at[i + 1]]
-        for j in m[live[np.argsort(-matches, kind="stable")]]:
-            a, b = find(root[i]), find(root[j])
-            if a == b:
-                continue
-            other = sets[at[j]: at[j + 1]]
-            place = np.minimum(np.searchsorted(own, other), len(own) - 1)
-            shared = int((own[place] == other).sum())
-            if 100 * shared >= percent * (len(own) + len(other) - shared):
-                joined[a] = b
-                yield min(node[i], node[j]), max(node[i], node[j])
+        m = m[survivors(np.broadcast_to(low[i], (len(m), low.shape[1])), low[m], needed)[0]]
+        if not len(m):
+            continue
+        if inverted is None:
+            inverted = _Inverted(np.concatenate([sets[at[j]: at[j + 1]] for j in members]), np.r_[0, np.cumsum(size[members])])
+        shared = inverted.shared(sets[at[i]: at[i + 1]])[np.searchsorted(members, m)]
+        m = m[100 * shared >= percent * (size[i] + size[m] - shared)]
+        for j in m[np.unique(label[m], return_index=True)[1]]:
+            yield min(node[i], node[j]), max(node[i], node[j])
+            label[label == label[j]] = label[i]
 
 
 def _apart(percent, needed):
