@@ -529,6 +529,7 @@ s as (
   p1, 1.0e0 - p1 as p2, predictable from s""")
 oracle("feed_stream_dedup", "", f"select {FEED} from {_dedup('feed')}")
 # "recent" lands after "current"
+oracle("feed_stream_state", "", f"select {FEED} from {_dedup('feed')}")
 oracle("feed_stream_latest", "", f"select {FEED} from {_dedup('feed').replace('order by endpoint_no,', 'order by endpoint_no desc,')}")
 oracle("feed_bad_items", "", """select 'row' as problem, count(*) as n from contest where mid % 11 <> 0
   union all select 'item', count(*) from contest where mid % 11 = 0

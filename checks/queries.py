@@ -16,6 +16,7 @@ from tiebreak.session import checkpoint_root, materialize, scratch_path
 from tiebreak.sources import feed as feed_source
 from tiebreak.sources.models import ModelBundle, load_bundle, load_or_train, save_bundle
 from tiebreak.sources.tables import load_matches, normalize_columns, read_table, write_table
+from tiebreak.streaming.feed_state import start_feed_state
 from tiebreak.streaming.feed_stream import compact_feed, feed_stream, read_deduped, read_latest, start_feed_dedup
 
 from . import derived as d
@@ -860,6 +861,16 @@ def feed_stream_dedup(spark, sf):
     return read_deduped(spark, f"{out}/rows", schema)
 
 
+@query
+def feed_stream_state(spark, sf):
+    """The same landings, then the first again, through keyed state; equals the batch operator."""
+    out, root = scratch_path(spark, "feed-state"), scratch_path(spark, "feed")
+    for part in ("yr >= 1998", "yr < 1998", "yr >= 1998"):
+        stream = feed_stream(spark, d.write_feed_pages(spark, sf, part, root))
+        start_feed_state(stream, f"{out}/rows", f"{out}/state").awaitTermination()
+    return read_deduped(spark, f"{out}/rows", stream.schema)
+
+
 @query
 def feed_stream_latest(spark, sf):
     """Every fixture lands as scheduled first and with its result later; the result shows."""

@@ -10,6 +10,7 @@ from tiebreak.plans.forecast import history
 from tiebreak.plans.live import alias_frame, prediction_sink
 from tiebreak.session import checkpoint_root
 from tiebreak.sources.feed import bad_items, read_feed, read_pages
+from tiebreak.streaming.feed_state import start_feed_state
 from tiebreak.streaming.feed_stream import compact_feed, feed_stream, read_deduped, read_latest, start_feed_dedup
 from tests import league as lg
 
@@ -182,3 +183,50 @@ def test_predictions_of_arriving_fixtures(spark, landed, tmp_path):
     # the undated fixture counts like any other
     assert sorted((r.team1, r.team2, r.date, r.predictable, r.favourite) for r in got) == [
         ("Alpha", "Beta", "", True, "Alpha"), ("Beta", "Alpha", "2026-04-02", True, "Alpha")]
+
+
+def _state_rows(query):
+    return [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+
+
+def test_state_gives_what_the_batch_operator_gives(spark, landed, tmp_path, rows):
+    out = str(tmp_path / "out")
+    start_feed_state(feed_stream(spark, landed, 1), out, str(tmp_path / "state")).awaitTermination()
+    stream = feed_stream(spark, landed)
+    # a page with a smaller number than those seen takes the first place, one with a larger shows last
+    for page, status in ((0, "Early"), (9, "Late")):
+        (tmp_path / "current" / f"p{page}-{status}.json").write_text(json.dumps(
+            {"page": page, "content": [item(A, B, startDate="2026-04-01", status=status), item(B, A, startDate="2026-09-01", status=status)]}) + "\n")
+        start_feed_state(stream, out, str(tmp_path / "state")).awaitTermination()
+    got = read_deduped(spark, out, stream.schema)
+    assert rows(got) == rows(fixtures.dedup_feed(read_feed(spark, landed)))
+    assert [r.status for r in got.where("date = '2026-09-01'").collect()] == ["Early"]
+    assert [r.status for r in read_latest(spark, out, stream.schema).where("date = '2026-09-01'").collect()] == ["Late"]
+
+
+def test_repeated_pages_are_not_stored_again(spark, tmp_path):
+    out, changed = str(tmp_path / "out"), []
+    for n in range(4):
+        status = "Scheduled" if n < 3 else "Result"
+        land(tmp_path / "current", []) and (tmp_path / "current" / f"{n}.json").write_text(json.dumps(
+            {"page": 1, "content": [item(A, B, startDate="2026-04-01", status=status)]}) + "\n")
+        start_feed_state(feed_stream(spark, {"current": str(tmp_path / "current")}), out, str(tmp_path / "state"),
+                         on_batch=lambda df, _: changed.append([r.status for r in df.collect()])).awaitTermination()
+    assert [x for x in changed if x] == [["Scheduled"], ["Result"]]
+    assert spark.read.parquet(f"{out}/batch=*").count() == 3
+
+
+def test_state_goes_when_nothing_arrives(spark, tmp_path, rows):
+    """Over twenty micro-batches of new fixtures the state holds those of the last moments only."""
+    paths, out = {"current": str(tmp_path / "current")}, str(tmp_path / "out")
+    (tmp_path / "current").mkdir()
+    for n in range(20):
+        (tmp_path / "current" / f"{n:02}.json").write_text(json.dumps(
+            {"page": n, "content": [item(A, B, startDate=f"2026-{n % 12 + 1:02}-{i + 1:02}", venue=str(n)) for i in range(10 * (n < 12))]
+             + [item(B, A, startDate="2026-01-01", status=str(n))]}) + "\n")
+    query = start_feed_state(feed_stream(spark, paths, 1), out, str(tmp_path / "state"), keep_ms=1)
+    query.awaitTermination()
+    held = _state_rows(query)
+    assert len(held) >= 20 and max(held) <= 22 and held[-1] <= 2
+    stream = feed_stream(spark, paths)
+    assert rows(read_deduped(spark, out, stream.schema)) == rows(fixtures.dedup_feed(read_feed(spark, paths)))

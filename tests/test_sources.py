@@ -65,3 +65,19 @@ def test_stored_tables_go_with_their_job(spark):
     a, b = tables_of.write(spark.range(2).toDF("id")), tables_of.write(spark.range(4).toDF("id"))
     tables_of.drop(a)
     assert b.count() == 4 and tables.path_exists(spark, tables_of.path)
+
+
+def test_a_season_replaces_its_own_files_only(spark, tmp_path, rows):
+    path = tmp_path / "table"
+    old = spark.createDataFrame([(i, 2020 + i % 3, "x") for i in range(9)], "match_id long, season int, winner string")
+    tables.write_table(old, str(path))
+    names = lambda season: sorted(p.name for p in (path / f"season={season}").glob("part-*"))
+    before = {s: names(s) for s in (2020, 2021, 2022)}
+    new = spark.createDataFrame([(100, 2022, "y"), (101, 2023, "y")], old.schema)
+    for _ in range(2):
+        tables.write_table(new, str(path), mode="replace")
+        assert names(2020) == before[2020] and names(2021) == before[2021] and names(2022) != before[2022]
+        assert rows(spark.read.parquet(str(path)), "match_id", "season", "winner") == rows(
+            old.where("season < 2022").union(new), "match_id", "season", "winner")
+    with pytest.raises(ValueError):
+        tables.write_table(new, str(path), partition_by=(), mode="replace")

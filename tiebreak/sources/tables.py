@@ -69,8 +69,17 @@ def load_matches(spark, paths=CANDIDATE_FILES, order_by=None, schema=None, fmt=N
 
 
 def write_table(df: DataFrame, path, fmt="parquet", partition_by=("season",), mode="overwrite"):
-    """A product table. Partitioning by season lets later season filters skip files."""
-    writer = df.write.mode(mode).format(fmt)
+    """A product table. Partitioning by season lets later season filters skip files.
+
+    ``mode="replace"`` puts the rows in the place of their own partitions only, such as a new season; the
+    files of the others stay, and a second run leaves what the first did.
+    """
+    if mode == "replace":
+        if not partition_by:
+            raise ValueError("only the parts of a partitioned table can be replaced")
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt)
+    else:
+        writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
     if partition_by:
