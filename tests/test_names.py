@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tiebreak import presets
 from tiebreak.operators import names
@@ -77,3 +78,28 @@ def test_resolve_roster(spark, rows):
         spark.createDataFrame(list(enumerate(roster, 1)), "ord int, team string"),
         spark.createDataFrame([(k,) for k in known], "team string"))
     assert rows(got) == [(1, "Royal Challengers Bangalore"), (2, "Mumbai Indians"), (3, "Punjab Kings")]
+
+
+def test_containment_equals_pairwise_comparison(spark, rows):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abé ") for _ in range(rng.randint(1, n)))
+    small, large = ({text(n) for _ in range(150)} for n in (6, 25))
+    got = names.containing(*(spark.createDataFrame([(t,) for t in side], "t string") for side in (small, large)))
+    assert rows(got) == sorted(((a, b) for a in small for b in large if a in b), key=repr)
+
+
+def test_shared_words_equal_pairwise_comparison(spark, rows):
+    rng = random.Random(10)
+    left, right = ({" ".join(rng.choices("fc united city royal x y z".split(), [9, 5, 3, 1, 1, 1, 1], k=rng.randint(1, 5))) for _ in range(60)} for _ in "ab")
+    got = names.sharing_two_words(*(spark.createDataFrame([(t,) for t in side], "t string") for side in (left, right)))
+    assert rows(got) == sorted(((a, b) for a in left for b in right if len(set(a.split()) & set(b.split())) >= 2), key=repr)
+
+
+def test_a_long_name_emits_its_grams_only(spark, rows):
+    long = "".join(random.Random(1).choices("abcdefgh ", k=5000)) + "royal kings"
+    sizes = F.array(F.lit(1), F.lit(2), F.lit(names.GRAM))
+    n, = spark.createDataFrame([(long,)], "t string").select(F.size(names._grams(F.col("t"), sizes))).first()
+    assert n <= 3 * len(long)
+    got = names.first_match(spark.createDataFrame([(long,), ("l k",)], "name string"),
+                            spark.createDataFrame([("royal kings", "r"), ("s", "s"), (long[10:900], "q")], "text string, rank string"))
+    assert dict(rows(got)) == {"l k": "r", long: "q"}

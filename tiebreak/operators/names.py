@@ -1,11 +1,10 @@
 """Name resolution: aliases, substring either way, shared words.
 
 The rule "first known name that contains the raw name, is contained in it, or
-shares two words with it" reads like a theta join. Here it is an equi-join on
-keys: known names are indexed by their whole text, by their substrings and by
-their word pairs, each index key keeps only its first (least) target, and raw
-names probe that index. A probe therefore meets at most one index row per key
-and no pair of names is emitted unless it matches.
+shares two words with it" reads like a theta join. Here it is three equi-joins. A text
+can lie in another only if its rarest gram does, so texts meet under one gram each, against an
+inverted index of grams, and ``contains`` decides. Texts with two words in common share one that
+is not the most frequent of either. What a name emits grows with its length, not with its square.
 """
 
 from pyspark.sql import DataFrame
@@ -14,30 +13,54 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_name, strip, words
 from ..session import materialize
 
+#: Characters of a gram; shorter texts are a gram themselves.
+GRAM = 3
 
-def _lengths(df, text):
-    """Distinct text lengths, as a scalar array. k distinct lengths need at least
-    k*k/2 characters of names, so the array stays small for any input."""
-    return df.select(F.collect_set(F.char_length(text))).scalar()
 
+def _grams(text, sizes):
+    """Distinct substrings of a text that have one of the given sizes."""
+    length = F.char_length(text)
+    usable = F.filter(sizes, lambda n: n <= length)
+    return F.array_distinct(F.flatten(F.transform(usable, lambda n: F.transform(
+        F.sequence(F.lit(1), length - n + 1), lambda i: text.substr(i, n)))))
 
-def _pieces(text, lengths):
-    """Array of every substring of a text that has one of the given lengths."""
-    size = F.char_length(text)
-    usable = F.filter(lengths, lambda n: n <= size)
-    return F.flatten(F.transform(usable, lambda n: F.transform(
-        F.sequence(F.lit(1), size - n + 1), lambda i: text.substr(i, n))))
 
+def _gram_size(text):
+    return F.least(F.char_length(text), F.lit(GRAM))
 
-def _word_pairs(text):
-    """Array of every unordered pair of distinct words of a text."""
-    sorted_words = F.array_sort(words(text))
-    return F.flatten(F.transform(sorted_words, lambda w, i: F.transform(
-        F.slice(sorted_words, i + 2, F.size(sorted_words)), lambda v: F.concat(w, F.lit("\u0000"), v))))
 
+def containing(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(small, large): each text of the first one-column frame with those of the second that contain it.
 
-def _keys(kind, texts):
-    return F.transform(texts, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("text")))
+    Texts are distinct and not empty. A text probes the grams of the larger ones with that of its own
+    grams which the fewest of them hold.
+    """
+    small, large = small.toDF("small"), large.toDF("large")
+    sizes = small.select(F.collect_set(_gram_size("small"))).scalar()  # GRAM numbers at most
+    held = large.withColumn("sizes", sizes).select("large", F.explode(_grams(F.col("large"), F.col("sizes"))).alias("gram"))
+    frequency = held.groupBy("gram").agg(F.count("*").alias("n"))
+    own = small.select("small", F.explode(_grams(F.col("small"), F.array(_gram_size("small")))).alias("gram"))
+    # a gram that no text holds is the rarest, and then none contains the text
+    rarest = own.join(frequency, "gram", "left").groupBy("small").agg(
+        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    return rarest.join(held, "gram").where(F.contains("large", "small")).select("small", "large")
+
+
+def sharing_two_words(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left, right): texts of two one-column frames that have two words or more in common.
+
+    With words ordered from the rarest, two texts that share two share one ahead of their last; so each
+    probes with all but its most frequent word.
+    """
+    sides = [side.toDF("text").withColumn("word", F.explode(words(F.col("text")))) for side in (left, right)]
+    frequency = sides[0].select("word").unionAll(sides[1].select("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+    def probes(side, name):
+        listed = side.join(frequency, "word").groupBy(F.col("text").alias(name)).agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("w"))
+        return listed.where(F.size("w") > 1).select(name, F.explode(F.slice("w", F.lit(1), F.size("w") - 1)).alias("w")).select(
+            name, F.col("w.word").alias("word"))
+    met = probes(sides[0], "left").join(probes(sides[1], "right"), "word").select("left", "right").distinct()
+    return met.where(F.size(F.array_intersect(words(F.col("left")), words(F.col("right")))) > 1)
 
 
 def first_match(names: DataFrame, targets: DataFrame, shared_words=True) -> DataFrame:
@@ -47,22 +70,12 @@ def first_match(names: DataFrame, targets: DataFrame, shared_words=True) -> Data
     compared as they are. A target matches if either text contains the other, or
     (``shared_words``) if they have two words in common.
     """
-    name, text = F.col("name"), F.col("text")
-    index = [_keys("inside", F.array(text)), _keys("around", _pieces(text, F.col("_lengths")))]
-    probe = [_keys("inside", _pieces(name, F.col("_lengths"))), _keys("around", F.array(name))]
+    text = targets.select("text").distinct()
+    met = containing(text, names.select("name")).toDF("text", "name").unionByName(
+        containing(names.select("name"), text).toDF("name", "text"))
     if shared_words:
-        index.append(_keys("words", _word_pairs(text)))
-        probe.append(_keys("words", _word_pairs(name)))
-    first_target = (
-        targets.withColumn("_lengths", _lengths(names, "name"))
-        .select("rank", F.explode(F.concat(*index)).alias("key"))
-        .groupBy("key").agg(F.min("rank").alias("rank"))
-    )
-    probes = (
-        names.withColumn("_lengths", _lengths(targets, "text"))
-        .select("name", F.explode(F.array_distinct(F.concat(*probe))).alias("key"))
-    )
-    return probes.join(first_target, "key").groupBy("name").agg(F.min("rank").alias("best"))
+        met = met.unionByName(sharing_two_words(names.select("name"), text).toDF("name", "text"))
+    return met.join(targets, "text").groupBy("name").agg(F.min("rank").alias("best"))
 
 
 def normalize_names(raw: DataFrame, known_teams: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -142,12 +155,13 @@ def resolve_roster(roster: DataFrame, known_teams: DataFrame) -> DataFrame:
     exact = roster.join(known, "team", "left_semi")
     loose = (
         roster.join(known, "team", "left_anti")
-        .select("ord", F.explode(F.filter(words(F.col("team")), lambda w: F.char_length(w) > 4)).alias("_key"))
+        .select("ord", F.explode(F.filter(words(F.col("team")), lambda w: F.char_length(w) > 4)).alias("word"))
+    )
+    found = (
+        containing(loose.select("word").distinct(), known.select("team")).toDF("word", "team")
+        .groupBy("word").agg(F.min("team").alias("team"))
+        .join(loose, "word").groupBy("ord").agg(F.min("team").alias("team"))
     )
-    pieces = known.withColumn("_lengths", _lengths(loose, "_key")).select(
-        "team", F.explode(_pieces(F.col("team"), F.col("_lengths"))).alias("_key"))
-    first_target = pieces.groupBy("_key").agg(F.min("team").alias("team"))
-    found = loose.join(first_target, "_key").groupBy("ord").agg(F.min("team").alias("team"))
     return (
         exact.select("ord", "team").unionByName(found)
         .groupBy("team").agg(F.min("ord").alias("ord")).select("ord", "team")
