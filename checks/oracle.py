@@ -549,6 +549,9 @@ oracle("cv_fitted_mean_std", TRAINING, f"""select cast(5 as bigint) as folds, {T
 oracle("model_roundtrip_score", TRAINING, "select cast(ceil(count(*) * 0.2e0) as bigint) as holdout_rows, 0.0e0 as moved from training")
 oracle("stored_model_reused", TRAINING, "select cast(ceil(count(*) * 0.2e0) as bigint) as holdout_rows, cast(1 as int) as trained from training")
 oracle("score_fixtures_model", "", "select count(*) as teams, 180.0e0 as points, cast(1 as int) as best, cast(count(*) as int) as last from roster")
+oracle("observed_write", TRAINING, """select m.*, t.* from (select count(*) as matches,
+  array_to_string(list_sort(list(distinct season)), ',') as seasons from matches) m, (select count(*) as training_rows,
+  cast(18 as int) as columns, cast(sum(team1_wins) as bigint) as team1_wins from training) t""")
 oracle("training_shape", TRAINING, "select count(*) as rows, cast(18 as int) as columns from training")
 oracle("winner_fallback", MATCHES, "select match_id, season, team1, team2, winner from matches")
 oracle("all_time_wins_by_league", LEAGUES, """select league, team, wins from (

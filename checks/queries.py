@@ -15,7 +15,7 @@ from tiebreak.schemas import FEATURE_COLS, LABEL_COL
 from tiebreak.session import checkpoint_root, materialize, scratch_path
 from tiebreak.sources import feed as feed_source
 from tiebreak.sources.models import ModelBundle, load_bundle, load_or_train, save_bundle
-from tiebreak.sources.tables import load_matches, normalize_columns, read_table, write_table
+from tiebreak.sources.tables import load_matches, normalize_columns, read_table, write_observed, write_table
 from tiebreak.streaming.feed_state import start_feed_state
 from tiebreak.streaming.feed_stream import compact_feed, feed_stream, read_deduped, read_latest, start_feed_dedup
 
@@ -607,6 +607,18 @@ def score_fixtures_model(spark, sf):
                      F.min("rank").alias("best"), F.max("rank").alias("last"))
 
 
+@query
+def observed_write(spark, sf):
+    """Matches and training rows are written; their summaries come from the writes."""
+    matches = d.stored_matches(spark, sf)
+    converted = write_observed(matches, scratch_path(spark, "matches"), mt.conversion_metrics())
+    rows = tr.training_rows(matches, d.START_SEASON)
+    seen = write_observed(rows, scratch_path(spark, "training"), tr.label_metrics(), partition_by=())
+    return spark.createDataFrame(
+        [(converted["matches"], ",".join(map(str, converted["seasons"])), seen["rows"], len(rows.columns), seen["team1_wins"])],
+        "matches bigint, seasons string, training_rows bigint, columns int, team1_wins bigint")
+
+
 @query
 def training_shape(spark, sf):
     """Rows and columns of the training data."""

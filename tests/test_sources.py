@@ -1,6 +1,8 @@
 import pytest
 
 from tests import league as lg
+from tiebreak.operators.matches import conversion_metrics, conversion_summary
+from tiebreak.operators.training import label_balance, label_metrics
 from tiebreak.sources import tables
 from tiebreak.session import Stored, checkpoint_root, materialize, scratch_path
 
@@ -81,3 +83,23 @@ def test_a_season_replaces_its_own_files_only(spark, tmp_path, rows):
             old.where("season < 2022").union(new), "match_id", "season", "winner")
     with pytest.raises(ValueError):
         tables.write_table(new, str(path), partition_by=(), mode="replace")
+
+
+def test_metrics_come_from_the_job_that_writes(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id as match_id", "cast(2000 + id % 7 as int) as season", "cast(id % 2 as int) as team1_wins")
+
+    def jobs(group, work):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            done = work()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return done, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    _, plain = jobs("plain", lambda: tables.write_table(df, str(tmp_path / "a")))
+    seen, observed = jobs("observed", lambda: tables.write_observed(
+        df, str(tmp_path / "b"), {**conversion_metrics(), **label_metrics()}))
+    assert observed == plain
+    assert seen == {"matches": 1000, "seasons": list(range(2000, 2007)), "rows": 1000, "team1_wins": 500, "team1_win_pct": 50.0}
+    balance = label_balance(spark.read.parquet(str(tmp_path / "b"))).first()
+    assert (seen["rows"], seen["team1_wins"], seen["team1_win_pct"]) == (balance.matches, balance.team1_wins, balance.team1_win_pct)
+    assert conversion_summary(df).first() == (seen["matches"], seen["seasons"])

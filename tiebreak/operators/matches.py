@@ -214,6 +214,11 @@ def sorted_matches(matches: DataFrame, keys=()) -> DataFrame:
     return matches.orderBy(*keys, "season", "match_id")
 
 
+def conversion_metrics():
+    """What ``conversion_summary`` counts, as metrics of a write."""
+    return {"matches": F.count("*"), "seasons": F.sort_array(F.collect_set("season"))}
+
+
 def conversion_summary(matches: DataFrame, keys=()) -> DataFrame:
     """Match count and the sorted seasons covered."""
     return matches.groupBy(*keys).agg(

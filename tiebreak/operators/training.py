@@ -83,6 +83,11 @@ def dropped_matches(matches: DataFrame, start=START_SEASON, keys=()) -> DataFram
     return from_season(matches, start).join(known, [*keys, "season", "team1", "team2"], "left_anti")
 
 
+def label_metrics(label=LABEL_COL):
+    """What ``label_balance`` and ``dataset_shape`` count, as metrics of a write."""
+    return {"rows": F.count("*"), "team1_wins": F.sum(label), "team1_win_pct": F.avg(label) * 100}
+
+
 def label_balance(rows: DataFrame, label=LABEL_COL) -> DataFrame:
     return rows.agg(
         F.count("*").alias("matches"),

@@ -1,6 +1,6 @@
 """Table sources and sinks."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from ..operators.matches import deliveries_to_matches, matches_from_table
 
@@ -85,3 +85,10 @@ def write_table(df: DataFrame, path, fmt="parquet", partition_by=("season",), mo
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
+
+
+def write_observed(df: DataFrame, path, metrics, **options):
+    """``write_table``, and the values of ``metrics`` (name -> aggregate column) over the rows, from the job that writes them."""
+    seen = Observation()
+    write_table(df.observe(seen, *(c.alias(name) for name, c in metrics.items())), path, **options)
+    return seen.get
