@@ -65,10 +65,10 @@ def test_texts_score_the_sum_of_their_words():
     names = {x.decode() for x in PIECES}
 
     def brute(word):
-        # forward sums, character by character, over stretches of at most MAX_WORD bytes
+        # forward sums over the whole word, character by character
         total, first = np.zeros(3), True
         while word:
-            cut = word.encode()[: li.MAX_WORD].decode(errors="ignore")
+            cut = word.encode().decode(errors="ignore")
             word, piece = word[len(cut):], (" " if first else "") + cut
             first, alpha = False, [np.ones(3)] + [np.zeros(3) for _ in piece]
             for i in range(len(piece)):
@@ -149,3 +149,10 @@ def test_very_long_words_keep_a_likelihood():
     model, text = li.Model(PIECES, ["x", "y"], np.zeros(2), p), ("z" * 2000).encode()
     (x, y), = li.log_likelihoods(np.frombuffer(text, np.uint8), np.array([0, len(text)]), model, li.Lookup(PIECES))
     assert x == pytest.approx(2001 * np.log(1e-3)) and y == pytest.approx(2001 * np.log(1e-4))
+
+
+def test_model_does_not_depend_on_the_tasks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one, many = (li.learn(docs.repartition(n)) for n in (1, 100))
+    assert one.langs == many.langs and np.array_equal(one.prior, many.prior)
+    assert np.abs(one.p / many.p - 1).max() < 1e-4

@@ -11,8 +11,6 @@ from .textarrays import FNV_OFFSET, FNV_PRIME, arrow_schema, chunks, runs, word_
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNDETERMINED = "und"
-#: Longest word in bytes that is segmented as one: any.
-MAX_WORD = None
 #: Bytes whose sums are made at once, so that none gets too small for a number: longer words carry theirs from stretch to
 #: stretch. Bytes of long words, and of text, taken at once.
 STRETCH, LONG, CHUNK = 24, 1 << 19, 12 << 20
@@ -20,6 +18,8 @@ STRETCH, LONG, CHUNK = 24, 1 << 19, 12 << 20
 SMOOTHING, ROUNDS, UNKNOWN = 0.1, 2, 1e-6
 #: Most languages that are learned; the models are that many numbers per piece.
 MAX_LANGUAGES = 512
+#: Expected uses are summed as whole numbers of this, so that the model does not depend on how the texts are dealt to tasks.
+USE = 2.0 ** -30
 # ASCII that is no letter ends a word; other scripts' punctuation stays and is an unknown character
 NO_LETTER = np.array([i < 128 and not chr(i).isalpha() for i in range(256)])
 # odd factor that spreads a hash over its high bits
@@ -239,7 +239,7 @@ def _lowered(batch):
 
 
 def _expected(pieces, p, n_langs):
-    """Rows (lang, piece, n): expected uses in thousandths, over all segmentations of what a task reads."""
+    """Rows (lang, piece, n): expected uses in ``USE``, over all segmentations of what a task reads."""
     def run(batches):
         lookup, model = Lookup(pieces.value), p.value
         if (model == model[:, :1]).all():
@@ -252,7 +252,7 @@ def _expected(pieces, p, n_langs):
                 weight = np.bincount(number * n_langs + lang, minlength=n * n_langs).reshape(n, n_langs).astype(float)
                 for rows, lattice in blocks:
                     lattice.expected(model, weight[rows], total)
-        fixed = np.rint(total * 1000).astype(np.int64)
+        fixed = np.rint(total / USE).astype(np.int64)
         piece, lang = np.nonzero(fixed)
         yield pa.RecordBatch.from_arrays(
             [pa.array(lang.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(fixed[piece, lang])], ["lang_no", "piece", "n"])
@@ -291,9 +291,9 @@ def learn(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS, s
     for _ in range(rounds):
         found = coded.mapInArrow(
             _expected(shared, spark.sparkContext.broadcast(p), len(langs)), "lang_no int, piece int, n long",
-        ).groupBy("lang_no", "piece").agg(F.sum("n").alias("n")).toArrow()
+        ).groupBy("lang_no", "piece").agg(F.sum(F.col("n").cast("decimal(38,0)")).cast("double").alias("n")).toArrow()
         use = np.zeros((len(pieces) + 1, len(langs)))
-        use[found.column("piece").to_numpy(), found.column("lang_no").to_numpy()] = found.column("n").to_numpy() / 1000
+        use[found.column("piece").to_numpy(), found.column("lang_no").to_numpy()] = found.column("n").to_numpy() * USE
         p = (use + smoothing) / (use.sum(axis=0) + smoothing * len(use))
         # what lies outside the vocabulary says little about the language
         p[-1] = UNKNOWN
