@@ -167,8 +167,6 @@ def fit(x, y, seed=7):
                 v += 0.001 * (g * g - v)
                 w -= RATE * (1 - step * size / (EPOCHS * len(order) + size)) * (m / (1 - 0.9 ** step)) / (
                     np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-        if step > 20000:
-            break
     if len(held):
         z, t = net.logits(x[held]), y[held].astype(float)
         loss = [np.logaddexp(0, np.where(t == 1, -z, z) / c).mean() for c in _TEMPERATURES]
@@ -223,7 +221,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col="doc_
     chosen = clear.join(rows.select(F.col("_doc").alias("_id")).distinct(), "_id").orderBy(F.xxhash64("_id"), "_id").limit(sample)
     schema = T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("text_key", T.LongType()),
                            T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
-    picked = rows.join(chosen, F.col("_doc") == F.col("_id")).select(
+    # ``sample`` ids at most, so they go to the texts and no text is shuffled
+    picked = rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(
         F.col("_doc").alias("doc"), text_key("text").alias("text_key"), F.col("y").cast("int").alias("y"), "text")
     found = picked.mapInArrow(_features(spark.sparkContext.broadcast(vectors), schema), schema).orderBy("doc", "text_key").limit(sample).toArrow()
     n = found.num_rows
