@@ -5,8 +5,8 @@ candidates; a second, independent part of the signature is compared batch by bat
 the posterior probability that it reaches the threshold is below ``miss``. What survives is verified on the full sets.
 
 No bucket lists its pairs. First every member of a bucket is compared with one of them, the pivot: a group of near copies
-is linked by that, however large. Only buckets whose members are still apart go on: their members outside the pivot's component
-are compared with all, in blocks of bounded size that are dealt out by themselves and pass on no more links than join components.
+is linked by that, however large. Only buckets whose members are not all under one pivot go on: those outside the pivot's
+part are compared with all, in blocks of bounded size that are dealt out by themselves and pass on no more links than join components.
 """
 
 import numpy as np
@@ -292,7 +292,10 @@ def _links(texts, nodes, k, percent, needed, tables):
         return joined.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
     links = tables.write(confirmed(near), "links")
-    roots = connected(links, tables)
+    # nodes under one root are linked to it, or to a pivot that is; that much is known without all components
+    least = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    over = least.select(F.col("node").alias("root"), F.col("root").alias("over"))
+    roots = least.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
     placed = tables.write(
         members.where("n > 2").join(roots, "node", "left").select(
             "v", "band", "node", "n_shingles", "pivot", F.coalesce("root", "node").alias("root")), "placed")
