@@ -97,9 +97,22 @@ def contests(spark, sf_dir):
     return df
 
 
+#: Deliveries of a partition. What a task sorts and groups stays of one size, however large the tables are.
+PARTITION_ROWS = 100_000
+
+
 def deliveries(spark, sf_dir):
+    """Large tables lie by their match, in partitions whose number follows the rows, which the files' footers count.
+
+    Spark would merge partitions by their packed size, and these rows are many times as large in memory. Up to
+    four partitions a core are left to it.
+    """
     balls = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mid"), "l_linenumber")
-    return balls.join(contests(spark, sf_dir), "mid").selectExpr(*[f"{e} as {c}" for c, e in DELIVERY_COLS])
+    c = contests(spark, sf_dir)
+    parts = -(-balls.count() // PARTITION_ROWS)
+    if parts > 4 * spark.sparkContext.defaultParallelism:
+        balls, c = balls.repartition(parts, "mid"), c.repartition(parts, "mid")
+    return balls.join(c, "mid").selectExpr(*[f"{e} as {c}" for c, e in DELIVERY_COLS])
 
 
 def matches(spark, sf_dir, keys=()):

@@ -110,6 +110,20 @@ def test_hot_group_reaches_the_shuffle_reduced(spark):
     assert shuffled.count("partial_min") >= 2
 
 
+def test_partitions_of_deliveries_follow_the_rows(spark, monkeypatch, rows):
+    """Many rows are grouped in many small tasks, as they lie, and give the same matches."""
+    frames = [mt.first_row_per_match, mt.match_grain, lambda *a: mt.deliveries_to_matches(*a, "match_won_by", keys=("league",))]
+    few = [rows(f(d.deliveries(spark, SF), d.DELIVERY_ORDER)) for f in frames]
+    monkeypatch.setattr(d, "PARTITION_ROWS", 100, raising=False)
+    for f, expected in zip(frames, few):
+        got = f(d.deliveries(spark, SF), d.DELIVERY_ORDER)
+        assert rows(got) == expected
+        held = got.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in held) <= 100
+        got.collect()
+        assert plan_of(got).split("Initial Plan")[0].count("Exchange hashpartitioning(mid") <= 2
+
+
 def test_champions_read_every_match_once(spark):
     plan = plan_of(explore.champions(hot_matches(spark, 1000)))
     assert plan.count("Range (") == 1
