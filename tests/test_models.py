@@ -145,6 +145,12 @@ def test_layout_follows_the_rows_alone(spark, training, rows):
         assert got[0] == got[1]
 
 
+def test_tasks_grow_slower_than_the_rows():
+    """Small tables keep their partitions; a table sixty times as large has not sixty times as many."""
+    assert [ms.layout_partitions(n) for n in (0, 1, 50_000, 50_001, 400_000)] == [1, 1, 1, 2, 8]
+    assert [ms.layout_partitions(50_000 * n) for n in (9, 72, 432)] == [8, 24, 58]
+
+
 def test_cross_validated_rows_give_the_mean_and_deviation(spark, training):
     vectors = ms.feature_vector(ms.stratified_folds(ms.with_shuffle_key(training, ["match_id"]), ["match_id"], folds=3)).persist()
     params = {"n_estimators": 3, "max_depth": 2}

@@ -1,5 +1,6 @@
 """Deterministic stratified splits and the randomised parameter search."""
 
+import math
 import random
 from dataclasses import dataclass
 from functools import reduce
@@ -132,18 +133,26 @@ def sample_params(space, n, seed=SEED):
 #: Training rows of a partition. Trees draw their rows by partition, so the number of partitions is part of the
 #: model, like the seed: it follows the rows and not the cluster.
 LAYOUT_ROWS = 50_000
+#: From this number on, partitions grow with their number: boosting runs thousands of stages, and every task of each
+#: reports to the driver.
+LAYOUT_PARTITIONS = 8
+
+
+def layout_partitions(n, partition_rows=LAYOUT_ROWS, even=LAYOUT_PARTITIONS):
+    """Partitions for n rows: of ``partition_rows`` up to ``even``, then as many as the root of the rows gives."""
+    parts = max(1, -(-n // partition_rows))
+    return parts if parts <= even else math.isqrt(even * parts)
 
 
 def in_layout(rows: DataFrame, ids, partition_rows=LAYOUT_ROWS) -> DataFrame:
     """Training rows, stored, in partitions that depend on the rows, ``ids`` and ``partition_rows`` alone.
 
     Rows are cut by the hash of the ids and sorted by them, so the same rows give the same model
-    on any cluster, whatever files or tasks they come from. The number of partitions grows with the stored
-    table, whose rows the files' footers count.
+    on any cluster, whatever files or tasks they come from. The number of partitions grows with the root of the
+    stored table, whose rows the files' footers count: so do the tasks of a stage and the rows of a task.
     """
     stored = materialize(rows, "training")
-    partitions = max(1, -(-stored.count() // partition_rows))
-    return stored.repartition(partitions, *ids).sortWithinPartitions(*ids)
+    return stored.repartition(layout_partitions(stored.count(), partition_rows), *ids).sortWithinPartitions(*ids)
 
 
 def accuracy_evaluator(label=LABEL_COL):
