@@ -1,6 +1,8 @@
 import json
 import os
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tiebreak.plans.forecast import history
 from tiebreak.plans.live import alias_frame, prediction_sink
 from tiebreak.session import checkpoint_root
 from tiebreak.sources.feed import bad_items, read_feed, read_pages
-from tiebreak.streaming.feed_state import start_feed_state
+from tiebreak.streaming.feed_state import _changes, start_feed_state
 from tiebreak.streaming.feed_stream import compact_feed, feed_stream, read_deduped, read_latest, start_feed_dedup
 from tests import league as lg
 
@@ -230,3 +232,25 @@ def test_state_goes_when_nothing_arrives(spark, tmp_path, rows):
     assert len(held) >= 20 and max(held) <= 22 and held[-1] <= 2
     stream = feed_stream(spark, paths)
     assert rows(read_deduped(spark, out, stream.schema)) == rows(fixtures.dedup_feed(read_feed(spark, paths)))
+
+
+class FakeState:
+    exists = hasTimedOut = False
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def setTimeoutDuration(self, ms):
+        pass
+
+
+def test_a_fixture_costs_little_beside_its_rows():
+    """Thousands of fixtures a second: no frame is searched for each. The first of equal rows counts."""
+    part = pd.DataFrame({"order": ["b", "a", "a", "c"], "arrived": [5, 7, 7, 9], "row": ["r1", "r2", "r3", "r4"]})
+    run, start = _changes(1), time.process_time()
+    for _ in range(2000):
+        state = FakeState()
+        (out,) = run((), iter([part]), state)
+    assert time.process_time() - start < 2
+    assert out.values.tolist() == [["first", 7, "r2"], ["latest", 9, "r4"]] and state.get == ("a", 9, "c", "r4")
+    assert not list(run((), iter([part]), state))

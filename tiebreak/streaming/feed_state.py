@@ -6,6 +6,8 @@ of a fixture says nothing about when its page comes. No row is ever too late. On
 is passed on again, and the readers of ``feed_stream``, which take the first or the latest of what is stored, still give its place.
 """
 
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,17 +36,18 @@ def _changes(keep_ms):
         first, arrived, order, row = state.get if state.exists else (None, None, None, None)
         out = []
         for part in parts:
-            least = part.loc[part["order"].idxmin()]
-            if first is None or least["order"] < first:
-                first = least["order"]
-                out.append(("first", int(least["arrived"]), least["row"]))
-            newest = part[part["arrived"] == part["arrived"].max()]
-            newest = newest.loc[newest["order"].idxmin()]
-            at = int(newest["arrived"])
-            if arrived is None or at > arrived or (at == arrived and newest["order"] < order):
-                if newest["row"] != row:
-                    out.append(("latest", at, newest["row"]))
-                arrived, order, row = at, newest["order"], newest["row"]
+            # most fixtures have a row or two: plain values cost a fraction of what a frame does for them
+            rows = list(zip(part["order"].tolist(), part["arrived"].tolist(), part["row"].tolist()))
+            order_least, came, text = min(rows, key=itemgetter(0))
+            if first is None or order_least < first:
+                first = order_least
+                out.append(("first", came, text))
+            at = max(r[1] for r in rows)
+            order_newest, _, text = min((r for r in rows if r[1] == at), key=itemgetter(0))
+            if arrived is None or at > arrived or (at == arrived and order_newest < order):
+                if text != row:
+                    out.append(("latest", at, text))
+                arrived, order, row = at, order_newest, text
         state.update((first, arrived, order, row))
         state.setTimeoutDuration(keep_ms)
         if out:
