@@ -134,6 +134,26 @@ def test_models_do_not_depend_on_the_layout_of_their_input(spark, training, rows
         assert got[0] == got[1]
 
 
+def test_boosting_reads_equal_rows_once(spark, training, rows, monkeypatch):
+    """Rows up to four times over: boosting reads each once, with its number, and gives the probabilities of all rows."""
+    often = training.withColumn("match_id", F.explode(F.expr("transform(sequence(0, match_id % 4), i -> match_id + 1000 * i)")))
+    read = []
+
+    def layout(df, ids, *rest):
+        read.append(df.count())
+        return ms.in_layout(df, ids, *rest)
+    monkeypatch.setattr("tiebreak.plans.training.in_layout", layout)
+    weighted = fit(ms.boosted_trees({"n_estimators": 6, "max_depth": 3}), often)
+    plain = PipelineModel([ms.assembler(), ms.boosted_trees({"n_estimators": 6, "max_depth": 3}).fit(ms.feature_vector(often))])
+    got, want = (dict(rows(ev.model_scorer(m)(training), "match_id", "p1")) for m in (weighted, plain))
+    assert got == pytest.approx(want, abs=1e-9) and len(set(got.values())) > 5
+    assert got != dict(rows(ev.model_scorer(fit(ms.boosted_trees({"n_estimators": 6, "max_depth": 3}), training))(training), "match_id", "p1"))
+    # whose trees draw rows, or count them for their leaves, need all of them
+    for estimator in (ms.random_forest(2, 2), ms.boosted_trees({"n_estimators": 2, "subsample": 0.8}), ms.boosted_trees({"n_estimators": 2, "min_child_weight": 3})):
+        fit(estimator, often)
+    assert read == [600, 600, 1500, 1500, 1500]
+
+
 def test_layout_follows_the_rows_alone(spark, training, rows):
     """Partitions grow with the rows, and the same rows in any partitions give the same model."""
     assert ms.in_layout(training, ["match_id"]).rdd.getNumPartitions() == 1

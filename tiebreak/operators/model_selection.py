@@ -155,6 +155,19 @@ def in_layout(rows: DataFrame, ids, partition_rows=LAYOUT_ROWS) -> DataFrame:
     return stored.repartition(layout_partitions(stored.count(), partition_rows), *ids).sortWithinPartitions(*ids)
 
 
+def takes_weights(estimator):
+    """Whether a weight of w does to the estimator what w equal rows do: boosting whose trees draw no rows and count none for
+    their leaves. Forests draw each row by itself."""
+    return (isinstance(estimator, GBTClassifier) and estimator.getSubsamplingRate() == 1.0 and estimator.getMinInstancesPerNode() == 1
+            and not estimator.isDefined(estimator.weightCol) and not estimator.isDefined(estimator.validationIndicatorCol))
+
+
+def weighted_rows(rows: DataFrame, label=LABEL_COL, out="weight") -> DataFrame:
+    """The different training rows, each with its number. Features follow from the season, the ordered pair of teams and the
+    toss, so however many matches there are, four rows a season and pair are the most."""
+    return rows.groupBy(*FEATURE_COLS, label).agg(F.count("*").alias(out))
+
+
 def accuracy_evaluator(label=LABEL_COL):
     return MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy")
 

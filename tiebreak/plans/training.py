@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..operators.evaluation import classification_report, confusion_matrix, feature_importances, model_comparison
 from ..operators.model_selection import (
     assembler, cross_val_accuracy, in_layout, random_forest, random_search, stratified_folds,
-    stratified_split, with_shuffle_key,
+    stratified_split, takes_weights, weighted_rows, with_shuffle_key,
 )
 from ..presets import SEARCH_SPACE
+from ..schemas import FEATURE_COLS
 from ..session import checkpoint_root, materialize
 from ..sources.models import ModelBundle
 
@@ -33,8 +34,16 @@ def prepare(rows: DataFrame, ids=("match_id",), test_size=0.2) -> DataFrame:
 
 
 def fit(estimator, train: DataFrame, ids=("match_id",)) -> PipelineModel:
-    """A pipeline of vector assembler and estimator, fitted on the stored rows in their own layout."""
+    """A pipeline of vector assembler and estimator, fitted on the stored rows in their own layout.
+
+    Where the estimator takes weights, equal rows become one with their number as weight. That gives the model of all rows, up to
+    the order of sums and the rows MLlib samples for its split candidates.
+    """
     checkpoint_root(train.sparkSession)  # boosting cuts its lineage there
+    if takes_weights(estimator):
+        label = estimator.getLabelCol()
+        train, ids = weighted_rows(train, label), [*FEATURE_COLS, label]
+        estimator = estimator.copy({estimator.weightCol: "weight"})
     return Pipeline(stages=[assembler(), estimator]).fit(in_layout(train, ids))
 
 
